@@ -249,7 +249,8 @@ def links(docs: DataFrame) -> DataFrame:
     maybe = materialize(units.mapInArrow(prune, "key long, i int, j int, pos int, node binary, partners array<int>"))
     # equal texts meet before the shuffle, so copies move once for each task at most
     full = docs.where(F.col("__node").isNotNull()).groupBy(F.col("__node").alias("node")).agg(F.first("text").alias("text"))
-    full = full.join(maybe.select("node").distinct(), "node", "left_semi")
+    # one plan at every size: a broadcast would be pushed below the aggregation only while it is small
+    full = full.join(maybe.select("node").distinct().hint("merge"), "node", "left_semi")
     work = maybe.join(full, "node").select(*_KEYS, "pos", "node", "partners", "text").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "pos")
     return materialize(work.mapInArrow(verify, "node binary, links long, root binary"))
 
