@@ -75,9 +75,14 @@ class Documents:
     def __init__(self, spark: SparkSession, path: str, clock: V.Clock | None = None):
         self.spark, self.path, self.clock = spark, path.rstrip("/"), clock or V.Clock()
         self.store = Store(spark, self.path)
-        self.indexes: dict[str, Index] = {}
+        self._held = f"{self.path}/_indexes.json"  # Parquet readers pass over names with an underscore
+        held = json.loads(self.store.read(self._held)) if self.store.exists(self._held) else {}
+        self.indexes: dict[str, Index] = {p: Index(**i) for p, i in held.items()}
         self.reindexed: list[dict] = []
 
+    def _keep_indexes(self) -> None:
+        self.store.write(self._held, json.dumps({p: vars(i) for p, i in self.indexes.items()}))
+
     def log(self) -> DataFrame:
         if not self.store.exists(self.path):
             return self.spark.createDataFrame([], SCHEMA)
@@ -142,10 +147,12 @@ class Documents:
         if path in self.indexes:
             raise errors.AlreadyExists(path)
         self.indexes[path] = Index(kind, self.clock.tick())
+        self._keep_indexes()
 
     def drop_index(self, path: str) -> None:
         if self.indexes.pop(path, None) is None:
             raise errors.UnknownIndex(path)
+        self._keep_indexes()
 
     def reindex(self) -> dict:
         """From now on all documents are found by all indexes. Doing it again changes nothing."""
@@ -153,6 +160,7 @@ class Documents:
         self.reindexed.append(status)
         for index in self.indexes.values():
             index.since = 0
+        self._keep_indexes()
         status |= {"status": "completed", "documents": self.count()}
         return status
 

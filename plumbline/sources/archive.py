@@ -60,6 +60,7 @@ def restore(spark: SparkSession, path: str, kv=None, docs=None, replace: bool =
     lines = read(spark, path)
     now, report = int(time.time()), {"kv": 0, "doc": 0, "expired": 0}
     heads = [json.loads(r["value"]) for r in lines.where(F.col("t").isin("kv-domain", "json-domain", "json-index")).collect()]
+    indexes = []
     for head in heads:
         name = head["domain"]
         if only is not None and name != only:
@@ -67,7 +68,7 @@ def restore(spark: SparkSession, path: str, kv=None, docs=None, replace: bool =
         target = rename if rename is not None and name == only else name
         registry = kv if head["t"] == "kv-domain" else docs
         if head["t"] == "json-index":
-            registry.get(target).indexes.setdefault(head["path"], None)
+            indexes.append((target, head["path"], head["kind"]))
             continue
         if target in registry.states:
             if not replace:
@@ -88,6 +89,10 @@ def restore(spark: SparkSession, path: str, kv=None, docs=None, replace: bool =
             rows = rows.select("key", "content", "version", "generation", F.lit(domain.clock.tick()).alias("ts"), F.lit(V.PUT).alias("op"), F.lit(0).cast("long").alias("expire_at"))
             rows.write.mode("append").parquet(domain.path)
             report["doc"] += rows.count()
+    for target, index_path, kind in indexes:
+        domain = docs.get(target)
+        domain.create_index(index_path, kind)
+        domain.reindex()
     return report
 
 

@@ -29,7 +29,11 @@ class Store:
         self._fs.delete(self._path(path), True)
 
     def read(self, path: str) -> str:
-        return "\n".join(r[0] for r in self.spark.read.text(path, wholetext=True).collect())
+        stream = self._fs.open(self._path(path))  # Spark's readers pass over names with an underscore
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
     def write(self, path: str, text: str) -> None:
         """Write beside the target, then rename over it: a reader sees the old file or the new one."""
