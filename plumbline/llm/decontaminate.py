@@ -7,9 +7,8 @@ joining fingerprints, then extending each hit along its diagonal while words agr
 a union of occurring windows. Items of fewer than ten words are looked up whole, by length.
 
 Words are compared, not only hashes: the benchmark's words are numbered, and a document's words become those
-numbers. Up to ``BROADCAST_WORDS`` benchmark words the index is broadcast; a larger
-benchmark is dealt out in parts of that size, each of which passes over the documents, and the
-parts' hits are merged by document.
+numbers. Up to ``BROADCAST_WORDS`` benchmark words the index is broadcast. The fingerprints of a larger
+benchmark are joined with those of the distinct texts by a shuffle, and only the texts and items that share one meet, in whole.
 
 Defined results for odd input: null and empty texts have no words and no hits. Items without words never occur; items of equal words
 occur together, and an item id counts once. Items with a null id mark words as hit but are not listed. Repeated documents are
@@ -18,7 +17,6 @@ scanned row by row. An empty benchmark hits nothing. Other columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
@@ -29,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import binary_column, ranges, slices, ready, texts
+from plumbline.llm.common import WordHash, binary_column, group_of, groups, materialize, mixed, ranges, ready, slices, texts
 
 WINDOW = 10
 GRAM = 5
 #: Grams of which the least is kept; GRAM + WINNOW - 1 is WINDOW.
 WINNOW = 6
-#: Words of the benchmark that are broadcast at a time (about 100 MB as an index).
+#: Words of a benchmark that is broadcast (about 100 MB as an index).
 BROADCAST_WORDS = 1_000_000
 _SEPARATE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -45,7 +43,9 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def gram_hashes(ids: np.ndarray, size: int = GRAM) -> np.ndarray:
-    out = np.zeros(max(0, len(ids) - size + 1), np.uint64)
+    if len(ids) < size:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(len(ids) - size + 1, np.uint64)
     for j in range(size):
         out = out * np.uint64(0x9E3779B97F4A7C15) + ids[j : len(ids) - size + 1 + j].astype(np.uint64)
     return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -148,15 +148,11 @@ def scan(index: Index, parts: list[bytes]) -> Iterator[tuple[int, list[tuple[int
         yield int(n), _merge(own), sorted(found)
 
 
-def indexes(benchmark: DataFrame, limit: int = BROADCAST_WORDS) -> list[Index]:
-    """Indexes of at most about ``limit`` words each; a benchmark within the limit has one."""
+def index_of(benchmark: DataFrame, limit: int = BROADCAST_WORDS) -> Index | None:
+    """The index of a benchmark of at most about ``limit`` words (its bytes are counted first), else None."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).where(F.col("text").isNotNull())
-    total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    parts = max(1, math.ceil(total / (4 * limit)))
-    if parts == 1:
-        return [Index([(r["item"], bytes(r["text"])) for r in rows.collect()])]
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(parts)))
-    return [Index([(r["item"], bytes(r["text"])) for r in dealt.where(F.col("part") == p).collect()]) for p in range(parts)]
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
+    return Index([(r["item"], bytes(r["text"])) for r in rows.collect()]) if size <= 4 * limit else None
 
 
 _FOUND = T.StructType([
@@ -170,25 +166,84 @@ def find(docs: DataFrame, benchmark: DataFrame, limit: int = BROADCAST_WORDS) ->
     """doc_id, n_words, spans (hit word ranges, merged) and items (ids, sorted as strings) of every document."""
     spark = docs.sparkSession
     ready(spark)
-    shared = [spark.sparkContext.broadcast(x) for x in indexes(benchmark, limit)]
+    index = index_of(benchmark, limit)
+    if index is None:
+        found = _joined(docs, benchmark)
+        rows = docs.select("doc_id", _node().alias("__node"))
+        return rows.join(found, "__node", "left").select("doc_id", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), *[F.coalesce(c, F.array().cast(_FOUND[c].dataType)).alias(c) for c in ("spans", "items")])
+    shared = spark.sparkContext.broadcast(index)
     out = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *_FOUND.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = binary_column(batch, "text")
-            counts, spans, items = [], [], []
-            for a, b in slices(column):
-                parts = texts(column, a, b)
-                rows = [scan(x.value, parts) for x in shared]
-                for each in zip(*rows, strict=True):
-                    counts.append(each[0][0])
-                    spans.append([list(s) for s in _merge([s for e in each for s in e[1]])])
-                    items.append(sorted({n for x, e in zip(shared, each, strict=True) for k in e[2] for n in x.value.names[k]}))
-            yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))], names=out.names)
+            found = [x for a, b in slices(column) for x in scan(shared.value, texts(column, a, b))]
+            yield pa.record_batch([batch.column(0), *_columns(shared.value, found)], names=out.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, out)
 
 
+def _columns(index: Index, found: list) -> list[pa.Array]:
+    items = [sorted({n for k in x[2] for n in index.names[k]}) for x in found]
+    return [pa.array([x[0] for x in found], pa.int64()), pa.array([[list(s) for s in x[1]] for x in found], pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))]
+
+
+def _node():
+    return F.md5(F.col("text").cast("binary"))
+
+
+def fingerprints(text: bytes, known: WordHash, short: list[int], own: bool) -> tuple[int, np.ndarray]:
+    """Words of a text, and its fingerprints: kept five-word grams, and whole grams of the lengths ``short``; an item (``own``) has those of its own length."""
+    words = words_of(text)
+    ids = np.fromiter((known[w] for w in words), np.uint64, len(words))
+    if own and len(words) < WINDOW:
+        lengths, out = [len(words)] if words else [], []
+    else:
+        hashes = gram_hashes(ids)
+        lengths, out = [] if own else short, [hashes[winnow(hashes)]]
+    out += [mixed(gram_hashes(ids, n) + np.uint64(n)) for n in lengths if len(words) >= n]
+    return len(words), np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
+
+
+def _joined(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """__node, n_words, spans, items of each distinct text, by a shuffled join of fingerprints. Nothing is broadcast or collected but the lengths of short items."""
+    full = docs.where(F.col("text").isNotNull()).groupBy(_node().alias("__node")).agg(F.first("text").alias("text"))
+    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text").withColumn("id", F.md5(F.concat_ws(" ", F.coalesce("item", F.lit("")), "text")))
+
+    def printed(short: list[int], own: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = WordHash()
+            for batch in batches:
+                column = binary_column(batch, "text")
+                found = [fingerprints(t, known, short, own) for a, b in slices(column) for t in texts(column, a, b)]
+                yield pa.record_batch([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([h.tolist() for _, h in found], pa.list_(pa.int64()))], names=["id", "n_words", "prints"])
+
+        return run
+
+    shape = "id string, n_words long, prints array<bigint>"
+    of_items = materialize(items.select("id", "text").mapInArrow(printed([], True), shape))
+    short = [r["n_words"] for r in of_items.where(F.col("n_words").between(1, WINDOW - 1)).select("n_words").distinct().collect()]
+    of_texts = materialize(full.select("__node", "text").mapInArrow(printed(short, False), shape))
+    left = of_texts.select(F.col("id").alias("__node"), F.explode_outer("prints").alias("h")).where(F.col("h").isNotNull())
+    right = of_items.select("id", F.explode_outer("prints").alias("h")).where(F.col("h").isNotNull())
+    pairs = left.join(right, "h").select("__node", "id").distinct()
+    work = pairs.join(items.dropDuplicates(["id"]).withColumnRenamed("text", "item_text"), "id").join(full, "__node")
+    work = work.select("__node", "id", "item", "item_text", "text").repartition("__node").sortWithinPartitions("__node")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, ["__node"]):
+            group = group_of(table, ["__node"])
+            cuts = np.flatnonzero(np.diff(group, prepend=-1, append=group[-1] + 1))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                part = table.slice(a, b - a)
+                index = Index(list(zip(part["item"].to_pylist(), (t.encode() for t in part["item_text"].to_pylist()), strict=True)))
+                found = list(scan(index, [part["text"][0].as_py().encode()]))
+                yield pa.record_batch([part["__node"].slice(0, 1).combine_chunks(), *_columns(index, found)[1:]], names=["__node", "spans", "items"])
+
+    hits = work.mapInArrow(check, "__node string, spans array<array<bigint>>, items array<string>")
+    return of_texts.select(F.col("id").alias("__node"), "n_words").join(hits, "__node", "left")
+
+
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -203,16 +258,16 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, limit: int = BROADC
     """The documents without any hit, with all their columns."""
     spark = docs.sparkSession
     ready(spark)
-    shared = [spark.sparkContext.broadcast(x) for x in indexes(benchmark, limit)]
+    index = index_of(benchmark, limit)
+    if index is None:
+        bad = _joined(docs, benchmark).where(F.size("spans") > 0).select(F.col("__node").alias("__bad"))
+        return docs.join(bad, _node() == F.col("__bad"), "left_anti")
+    shared = spark.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = binary_column(batch, "text")
-            clean = np.ones(batch.num_rows, bool)
-            for a, b in slices(column):
-                parts = texts(column, a, b)
-                for x in shared:
-                    clean[a:b] &= np.array([not spans for _, spans, _ in scan(x.value, parts)], bool)
-            yield batch.filter(pa.array(clean))
+            clean = [not spans for a, b in slices(column) for _, spans, _ in scan(shared.value, texts(column, a, b))]
+            yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -210,10 +210,13 @@ def test_decontamination_matches_brute_force(spark, limit):
 
 
 def test_decontamination_odd_input(spark, odd, nothing):
-    b = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    b = spark.createDataFrame([(1, "one two"), (2, "something else")], "item_id long, text string")
     none = b.limit(0)
-    rows = decontaminate.find(odd, b).collect()
-    assert len(rows) == 13 and {r["doc_id"] for r in rows if r["items"]} == {8}
+    for limit in (decontaminate.BROADCAST_WORDS, 1):
+        rows = decontaminate.find(odd, b, limit).collect()
+        assert len(rows) == 13 and {r["doc_id"] for r in rows if r["items"]} == {8}
+        assert decontaminate.find(nothing, b, limit).collect() == []
+        assert decontaminate.drop_contaminated(odd, b, limit).count() == 12
     assert all(not r["items"] for r in decontaminate.find(odd, none).collect())
     assert decontaminate.find(nothing, b).collect() == []
     assert decontaminate.drop_contaminated(odd, b).count() == 12
