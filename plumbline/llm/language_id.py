@@ -29,6 +29,8 @@ BUCKETS = 1 << 16
 #: Bound of the labelled sample, in documents of each language.
 TRAIN_DOCS = 4000
 UNKNOWN = "und"
+#: Bytes whose likelihoods are summed up at a time.
+STRETCH = 1 << 18
 _SPACED = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _ASCII_LETTER = re.compile("[A-Za-z]")
 
@@ -107,9 +109,15 @@ def mixture(model: LanguageModel, parts: list[bytes], penalty: float = 2.0) -> t
     if not len(begin) or not width:
         return shares, np.zeros(n, bool)
     of = np.searchsorted(starts, begin, side="right") - 1
-    total = np.zeros((len(data) - 1, width))
-    np.cumsum(model.table[_buckets(data)], axis=0, dtype=np.float64, out=total[1:])
-    like = total[end - 1] - total[begin - 1]
+    like = np.empty((len(begin), width))
+    first = 0
+    while first < len(begin):  # stretches of whole words, so a very long text needs no more memory than others
+        last = max(first + 1, int(np.searchsorted(end, begin[first] + STRETCH)))
+        low = begin[first] - 1
+        total = np.zeros((end[last - 1] - low, width))
+        np.cumsum(model.table[_buckets(data[low : end[last - 1] + 1])], axis=0, dtype=np.float64, out=total[1:])
+        like[first:last] = total[end[first:last] - 1 - low] - total[begin[first:last] - 1 - low]
+        first = last
     like = (np.exp(np.maximum(like - like.max(1, keepdims=True), -30)) + 1e-6).astype(np.float32)
     held, first = np.unique(of, return_index=True)
     row = np.searchsorted(held, of)
