@@ -88,4 +88,32 @@ items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) A
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)""",
+    "op7_jaccard_join": rf"""
+WITH RECURSIVE n AS (SELECT text, min(doc_id) AS least, count(*) AS copies, [x FOR x IN regexp_split_to_array({_LOWER}, '[ \t-\r]+') IF x <> ''] AS w
+       FROM documents WHERE regexp_matches(text, '[^ \t-\r]') GROUP BY text),
+s AS (SELECT DISTINCT least, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT least, w, unnest(range(1, CAST(greatest(len(w) - 4, 1) + 1 AS BIGINT))) AS i FROM n)),
+c AS (SELECT least, count(*) AS k FROM s GROUP BY least),
+p AS (SELECT a.least AS x, b.least AS y, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.least <> b.least GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN c cx ON x = cx.least JOIN c cy ON y = cy.least WHERE m >= 0.8 * (cx.k + cy.k - m) - 1e-9),
+r AS (SELECT least AS node, least AS reach FROM n UNION SELECT r.node, e.y FROM r JOIN e ON r.reach = e.x),
+cls AS (SELECT node, min(reach) AS class_id FROM r GROUP BY node),
+l AS (SELECT x, count(*) AS links FROM e GROUP BY x)
+SELECT d.doc_id, coalesce(cls.class_id, d.doc_id) AS class_id, CAST(coalesce(l.links, 0) AS BIGINT) AS n_links, CAST(coalesce(n.copies - 1, 0) AS BIGINT) AS n_copies
+FROM documents d LEFT JOIN n ON d.text = n.text LEFT JOIN cls ON n.least = cls.node LEFT JOIN l ON n.least = l.x""",
+    "op8_line_dedup": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+l AS (SELECT rid, i, line, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END FOR x IN string_split(trim(line), ' ')] AS t
+      FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line, unnest(range(1, CAST(len(string_split(text, chr(10))) + 1 AS BIGINT))) AS i FROM d WHERE text IS NOT NULL)),
+h AS (SELECT *, len(t) AS n, CAST(floor((len(t) - {line_dedup.LEADING}) / 2) AS BIGINT) AS half FROM l WHERE NOT (len(t) = 1 AND t[1] = '')),
+k AS (SELECT rid, i, 'all ' || n || ' ' || array_to_string(t, ' ') AS key FROM h WHERE n < {line_dedup.SHORT}
+      UNION ALL SELECT rid, i, 'first ' || n || ' ' || array_to_string(t[1 : {line_dedup.LEADING} + half], ' ') FROM h WHERE n >= {line_dedup.SHORT}
+      UNION ALL SELECT rid, i, 'second ' || n || ' ' || array_to_string(t[1 : {line_dedup.LEADING}], ' ') || ' | ' || array_to_string(t[{line_dedup.LEADING} + half + 1 : n], ' ') FROM h WHERE n >= {line_dedup.SHORT}),
+often AS (SELECT key FROM k GROUP BY key HAVING count(DISTINCT rid) >= {line_dedup.MIN_DOCS}),
+hit AS (SELECT DISTINCT rid, i FROM k JOIN often USING (key)),
+kept AS (SELECT l.rid, coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (hit.i IS NULL), '') AS text, count(*) AS n, count(hit.i) AS gone
+         FROM l LEFT JOIN hit ON l.rid = hit.rid AND l.i = hit.i GROUP BY l.rid)
+SELECT d.doc_id, CASE WHEN kept.gone > 0 AND length(kept.text) >= {1 - line_dedup.MAX_SHARE} * length(d.text) THEN kept.text ELSE d.text END AS text,
+       CAST(coalesce(kept.n, 0) AS BIGINT) AS n_lines,
+       CAST(CASE WHEN kept.gone > 0 AND length(kept.text) >= {1 - line_dedup.MAX_SHARE} * length(d.text) THEN kept.gone ELSE 0 END AS BIGINT) AS n_dropped
+FROM d LEFT JOIN kept USING (rid)""",
 }
