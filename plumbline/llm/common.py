@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -43,18 +44,22 @@ def ready(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset the warehouse on a cluster and a temporary folder in local mode."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("plumbline.shared.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="plumbline-shared-")
+        local = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        found = tempfile.mkdtemp(prefix="plumbline-shared-") if local else spark.conf.get("spark.sql.warehouse.dir")
         spark.conf.set("plumbline.shared.dir", found)
     return found.rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
+    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
+
+    What one application writes lies in one folder there, named by its id, which may be deleted when it has ended.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plumbline/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/plumbline-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
