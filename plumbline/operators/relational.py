@@ -1,8 +1,8 @@
 """The relational engine of one domain: queries, changes with their checks, and definitions.
 
-A table's data is a folder per version with one row per record, physical columns named by column id, and the
-schema version that wrote the row. A change writes a new folder and then replaces the catalog file, so a reader
-sees all of a statement or nothing. There is one writer.
+A table's data lies in part folders listed in the catalog, with physical columns named by column id and the
+schema version that wrote the row. An insertion writes one more part, another change rewrites the parts as one; then the catalog file
+is replaced, so a reader sees all of a statement or nothing. There is one writer.
 """
 
 from __future__ import annotations
@@ -67,8 +67,8 @@ class Relational:
         self.catalog.entries[name] = table
         return table
 
-    def _folder(self, table: Table, version: int) -> str:
-        return self.store.at("data", table.table_id, f"v{version}")
+    def _folder(self, table: Table, part: int) -> str:
+        return self.store.at("data", table.table_id, f"p{part}")
 
     def _physical(self, table: Table) -> T.StructType:
         return T.StructType([T.StructField("__schema", T.IntegerType()), *(T.StructField(f"c{c.col_id}", SPARK_TYPES[c.type]) for c in table.columns)])
@@ -77,10 +77,10 @@ class Relational:
         """All rows under declared names. A column that is younger than a row reads as its literal default; link cells of a domain that is gone read as null."""
         if table.path:
             frame = self.spark.read.parquet(table.path)
-        elif table.version < 0:
+        elif not table.parts:
             frame = self._named(self.spark.createDataFrame([], self._physical(table)), table)
         else:
-            frame = self._named(self.spark.read.schema(self._physical(table)).parquet(self._folder(table, table.version)), table)
+            frame = self._named(self.spark.read.schema(self._physical(table)).parquet(*[self._folder(table, p) for p in table.parts]), table)
         return links.mask(frame, table, self.kv is None, self.docs is None) if masked else frame
 
     @staticmethod
@@ -171,13 +171,23 @@ class Relational:
 
     # changes
 
-    def _commit(self, table: Table, frame: DataFrame) -> None:
-        version = table.version + 1
+    def _commit(self, table: Table, frame: DataFrame, append: bool = False) -> None:
+        part = table.next_part
         physical = frame.select(F.lit(table.schema_version).alias("__schema"), *[F.col(c.name).cast(SPARK_TYPES[c.type]).alias(f"c{c.col_id}") for c in table.columns])
-        physical.write.mode("overwrite").parquet(self._folder(table, version))
-        table.version = version
+        physical.write.mode("overwrite").parquet(self._folder(table, part))
+        table.parts, table.next_part = [*(table.parts if append else []), part], part + 1
         self._save()
 
+    def vacuum(self, name: str, merge: bool = True) -> int:
+        """Merge a table's parts into one and delete the folders that no longer hold rows; how many those were."""
+        table = self._writable(name)
+        if merge and len(table.parts) > 1:
+            self._commit(table, self.scan(table, masked=False))
+        gone = [p for p in range(table.next_part) if p not in table.parts and self.store.exists(self._folder(table, p))]
+        for p in gone:
+            self.store.delete(self._folder(table, p))
+        return len(gone)
+
     def _save(self) -> None:
         self.store.write(self.store.at("catalog.json"), json.dumps(self.catalog.dump()))
 
@@ -229,7 +239,7 @@ class Relational:
         self._check_keys(table, old, new)
         self._check_links(table, new, [c.name for c in table.columns])
         self.catalog.entries[table.name] = table
-        self._commit(table, old.unionByName(new))
+        self._commit(table, new, append=True)
         key = [c.name for c in table.columns].index(table.primary_key)
         return ChangeResult(len(rows), rows[0][key] if len(rows) == 1 else None)
 
@@ -330,7 +340,7 @@ class Relational:
             self.catalog.entries.update(before)
             raise
         self._save()
-        if dropped is not None and dropped.version >= 0:
+        if dropped is not None and dropped.parts:
             self.store.delete(self.store.at("data", dropped.table_id))
 
     def _apply(self, statement) -> Table | None:

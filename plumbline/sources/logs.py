@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources.ndjson import numbered
+
 SCAN_BYTES = 4 * 1024 * 1024
 
 
@@ -25,17 +27,14 @@ def last(lines: DataFrame, n: int, contains: str | None = None) -> DataFrame:
 
 def tail(spark: SparkSession, path: str, n: int, contains: str | None = None, budget: int = SCAN_BYTES) -> Tail:
     """The last ``n`` matching lines among the last ``budget`` bytes; truncated if the file has more and too few were found."""
-    whole = spark.read.text(path, wholetext=True)
-    text = F.regexp_replace("value", r"\n$", "")
-    rows = whole.select(F.posexplode(F.split(text, "\n")).alias("line", "text"))
-    sized = rows.withColumn("__size", F.octet_length("text") + 1)
-    total = sized.agg(F.sum("__size")).head()[0] or 0
+    total = spark.read.format("binaryFile").load(path).agg(F.coalesce(F.max("length"), F.lit(0))).head()[0]
+    rows = numbered(spark, path)
     if total > budget:
-        from pyspark.sql import Window
-
-        behind = F.sum("__size").over(Window.orderBy(F.col("line").desc()))
-        sized = sized.withColumn("__behind", behind).where(F.col("__behind") <= budget)
-    found = [r["text"] for r in last(sized.select("line", "text"), n, contains).collect()]
+        # only blocks that reach into the budget are ordered, so the window's rows are bounded by a block and the budget
+        rows = rows.where(F.col("start") + F.col("size") > total - budget)
+        behind = F.sum(F.octet_length("text") + 1).over(Window.orderBy(F.col("line").desc()))
+        rows = rows.withColumn("__behind", behind).where(F.col("__behind") <= budget)
+    found = [r["text"] for r in last(rows.select("line", "text"), n, contains).collect()]
     return Tail(found, total > budget and len(found) < n)
 
 

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """line, text of each line of a file, numbered from 1 in file order."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line", "text")).select((F.col("line") + 1).alias("line"), "text")
+    """line, text, and the file, start and size of the block of each line; lines are numbered from 1 in each file's order.
+
+    Blocks are read in parallel: lines are counted by block, and a line's number is its place in the block after all earlier blocks.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_block_length").alias("size"), F.monotonically_increasing_id().alias("__id"))
+    blocks = lines.groupBy("file", "start").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.withColumn("__before", F.coalesce(before, F.lit(0)))
+    return lines.join(blocks, ["file", "start"]).select((F.col("__id") - F.col("__first") + F.col("__before") + 1).alias("line"), "text", "file", "start", "size")
 
 
 def parsed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -136,6 +136,16 @@ def test_evolution_on_read(spark, t, tmp_path):
             again.execute(bad)
 
 
+def test_insertions_append_and_vacuum_merges(t):
+    table = t.catalog.table("t")
+    t.execute("INSERT INTO t (id) VALUES (7)")
+    assert table is not t.catalog.table("t") and t.catalog.table("t").parts == [0, 1]
+    t.execute("DELETE FROM t WHERE id = 7")
+    t.execute("INSERT INTO t (id) VALUES (8)")
+    assert t.catalog.table("t").parts == [2, 3] and t.vacuum("t") == 4
+    assert sorted(r[0] for r in rows(t, "SELECT id FROM t")) == [1, 2, 3, 8] and t.catalog.table("t").parts == [4]
+
+
 def test_unique_index_needs_unique_rows(t):
     with pytest.raises(errors.UniqueViolation):
         t.execute("CREATE UNIQUE INDEX one ON t (grp)")

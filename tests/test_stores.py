@@ -98,6 +98,16 @@ def test_ndjson(spark, tmp_path):
     assert sorted(lines, key=lambda x: x["_key"]) == [{"_key": "e", "_version": 1}, {"_key": "k1", "_version": 2, "a": 2}, {"_key": "t", "_version": 1, "_content": "s"}]
 
 
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    (tmp_path / "long.txt").write_text("".join(f"text {i}\n" for i in range(1, 3001)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = ndjson.numbered(spark, str(tmp_path / "long.txt")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len({r["start"] for r in rows}) > 3 and sorted((r["line"], r["text"]) for r in rows) == [(i, f"text {i}") for i in range(1, 3001)]
+
+
 def test_archives(spark, tmp_path):
     kvs, docs = Domains(spark, str(tmp_path / "kv")), Domains(spark, str(tmp_path / "docs"), Documents)
     kv, doc = kvs.create("shop"), docs.create("shop")
