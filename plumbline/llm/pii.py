@@ -74,21 +74,34 @@ def base_spans(text: Column) -> Column:
 
 def _occurrences(text: Column) -> Column:
     """Runs of identifier-like tokens with their contexts."""
-    between = F.split(text, OCCURRENCE, -1)
-    matches = F.regexp_extract_all(text, F.lit(OCCURRENCE), F.lit(0))
-    pairs = F.zip_with(matches, between, lambda m, b: F.struct(m.alias("m"), F.length(b).alias("skip"), F.lower(F.substring_index(F.trim(b), " ", -2)).alias("left")))
+    found, between = S.pairs(text, OCCURRENCE)
+    matches = F.zip_with(found, between, lambda m, b: F.struct(m.alias("m"), F.length(b).alias("skip"), F.lower(F.substring_index(F.trim(b), " ", -2)).alias("left")))
     after = F.transform(F.slice(between, 2, F.greatest(F.size(between) - 1, F.lit(0))), lambda b: F.lower(F.substring_index(F.trim(b), " ", 1)))
-    pairs = F.zip_with(F.filter(pairs, lambda p: p["m"].isNotNull()), after, lambda p, a: F.struct(p["m"].alias("m"), p["skip"].alias("skip"), p["left"].alias("left"), a.alias("right")))
+    matches = F.zip_with(F.filter(matches, lambda p: p["m"].isNotNull()), after, lambda p, a: F.struct(p["m"].alias("m"), p["skip"].alias("skip"), p["left"].alias("left"), a.alias("right")))
+    nothing = F.array().cast(_SEEN)
 
-    def step(held: Column, p: Column) -> Column:
-        start = held["at"] + p["skip"]
-        end = start + F.length(p["m"])
-        one = F.struct(start.alias("start"), end.alias("end"), p["m"].alias("instance"), p["left"].alias("two"), F.concat(F.substring_index(p["left"], " ", -1), F.lit(" _ "), F.coalesce(p["right"], F.lit(""))).alias("around"))
-        return F.struct(end.alias("at"), F.when(p["left"].isNotNull() & (p["left"] != ""), F.concat(held["seen"], F.array(one).cast(_SEEN))).otherwise(held["seen"]).alias("seen"))
+    def one(start: Column, end: Column, p: Column) -> Column:
+        around = F.concat(F.substring_index(p["left"], " ", -1), F.lit(" _ "), F.coalesce(p["right"], F.lit("")))
+        seen = F.struct(start.alias("start"), end.alias("end"), p["m"].alias("instance"), p["left"].alias("two"), around.alias("around"))
+        return F.when(p["left"].isNotNull() & (p["left"] != ""), F.array(seen).cast(_SEEN)).otherwise(nothing)
 
-    nothing = F.array().cast(_SEEN)
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), nothing.alias("seen")), step, lambda held: held["seen"])
-    return F.when(text.rlike("[0-9@]"), found).otherwise(nothing)
+    return F.when(text.rlike("[0-9@]"), S.placed(matches, _SEEN, one)).otherwise(nothing)
+
+
+def _with_kinds(base: Column, seen: Column) -> Column:
+    """Occurrences with the kinds of the base spans that they overlap, looked for among those near their chunk."""
+
+    def overlapping(spans: Column, start: Column, end: Column) -> Column:
+        return F.filter(spans, lambda s: (s["start"] < end) & (start < s["end"]))
+
+    def mark(chunk: Column, near: Column) -> Column:
+        return F.transform(chunk, lambda o: o.withField("kinds", F.transform(overlapping(near, o["start"], o["end"]), lambda s: s["kind"])))
+
+    def each(chunk: Column, spans: Column) -> Column:
+        near = overlapping(spans, F.get(chunk, F.lit(0))["start"], F.get(chunk, F.size(chunk) - 1)["end"])
+        return S.once(near, lambda n: mark(chunk, n))
+
+    return S.once(base, lambda spans: F.flatten(F.transform(S.chunks(seen), lambda chunk: each(chunk, spans))))
 
 
 def _score(edges: DataFrame, rounds: int) -> DataFrame:
@@ -120,9 +133,8 @@ def extract(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).select("doc_id", base_spans(F.col("text")).alias("__base"), _occurrences(F.col("text")).alias("__seen"))
     rows = materialize(rows.withColumn("__row", F.monotonically_increasing_id()))
-    each = rows.where(F.size("__seen") > 0).select("__row", "__base", F.explode_outer("__seen").alias("o")).select("__row", "__base", "o.*")
-    inside = F.filter("__base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    each = each.withColumn("kinds", F.transform(inside, lambda s: s["kind"])).drop("__base")
+    # kinds are found before the explosion, which would copy the base spans once for every occurrence
+    each = rows.where(F.size("__seen") > 0).select("__row", F.explode_outer(_with_kinds(F.col("__base"), F.col("__seen"))).alias("o")).select("__row", "o.*")
     each = each.withColumn("pattern", F.explode(F.array(F.concat(F.lit("two "), F.col("two")), F.concat(F.lit("around "), F.col("around")))))
     each = materialize(each.select("__row", "start", "end", "instance", "pattern", "kinds"))
     edges = materialize(each.select("pattern", "instance", F.explode_outer("kinds").alias("kind")).distinct())
