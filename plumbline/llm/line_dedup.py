@@ -22,13 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import materialize
+from plumbline.llm.spans import once
 
 LEADING = 3
 SHORT = 8
 MIN_DOCS = 3
 MAX_SHARE = 0.5
 #: A token that holds a digit, matched from its first character so that long tokens stay linear.
-VARIABLE = r"(?<![^\s])[^\s0-9]*+[0-9][^\s]*+"
+VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 
 
 def _tokens(line: Column) -> Column:
@@ -70,7 +71,8 @@ def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHAR
     rows = docs.withColumns({"__doc": F.col("doc_id"), "__text": F.xxhash64("text")})
     rows = rows.join(hit.withColumnsRenamed({"__doc": "__d", "__text": "__t"}), F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__text") == F.col("__t")), "left")
     parts = F.split("text", "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("__drop"), i)), "\n")
+    # a hash set of what goes, and the lines looked up by number: time in proportion to the lines, however many go
+    kept = once(parts, lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("__drop")), lambda i: F.get(p, i)), "\n"))
     rows = rows.withColumn("__kept", F.when(F.col("__drop").isNotNull(), kept))
     cut = F.col("__kept").isNotNull() & (F.length("__kept") >= F.length("text") * (1 - max_share))
     own = [c for c in docs.columns if c != "text"]
