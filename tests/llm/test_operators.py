@@ -69,6 +69,21 @@ def test_lines_generalise_variable_fields(spark):
     assert found[20] == (dict(texts)[20], 3, 0)
 
 
+def test_lines_end_tokens_at_spaces_only(spark):
+    texts = [(i, f"{prose(i, 40)}\n{w}\ttwo{i} three\r\n{w}{i}\tthe same tail here\r") for i, w in enumerate(["anna", "bert", "carl", "dora"])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    # "anna<tab>two0" and "anna0<tab>the" are single tokens with a digit, so variable fields
+    assert by_id(line_dedup.dedup(docs), "text", "__n_dropped") == {i: (t.split("\n")[0], 2) for i, t in texts}
+
+
+def test_lines_of_a_very_long_text(spark):
+    long = [f"own line {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}{'efghijklmn'[i // 1000]}" if i % 3 else "many have this line" for i in range(9000)]
+    short = [(k, f"{prose(k, 20)}\nmany have this line\n{prose(50 + k, 20)}") for k in range(2, 6)]
+    docs = spark.createDataFrame([(1, "\n".join(long)), *short], "doc_id long, text string")
+    found = by_id(line_dedup.dedup(docs), "text", "__n_lines", "__n_dropped")
+    assert found[1] == ("\n".join(x for x in long if x.startswith("own")), 9000, 3000)
+
+
 def test_lines_leave_whole_copies(spark):
     docs = spark.createDataFrame([(i, prose(1, 40) + "\n" + prose(2, 40)) for i in range(6)], "doc_id long, text string")
     assert all(r["__n_dropped"] == 0 for r in line_dedup.dedup(docs).collect())
@@ -392,9 +407,28 @@ def _brute_spans(text, rules):
     return ",".join(f"{n}:{a}:{b}" for a, _, b, n in found)
 
 
+#: Many more matches than one chunk holds; other matches and contexts lie between them.
+LONG_TEXT = "\n".join(f"é😀 write to u{i}@ex{i % 9}.com or 10.0.{i % 300}.7 now, token={i:08d}x and AKIA{i:016d} call +1 (555) 010 {i:04d} ext {i}" for i in range(1500))
+
+
+@pytest.mark.parametrize("size", [0, 1, S.CHUNK - 1, S.CHUNK, S.CHUNK + 1, 3 * S.CHUNK])
+def test_chunks_hold_every_member_once(spark, size):
+    row = spark.range(1).select(S.chunks(F.slice(F.sequence(F.lit(1), F.lit(1000)), 1, size)).alias("c")).head()
+    assert [x for c in row["c"] for x in c] == list(range(1, size + 1)) and all(len(c) <= S.CHUNK for c in row["c"])
+
+
+def test_long_text_has_no_discovery_on_base_spans(spark):
+    docs = spark.createDataFrame([(1, LONG_TEXT)], "doc_id long, text string")
+    row = pii.extract(docs).head()
+    taken = [False] * len(LONG_TEXT)
+    for s in row["__base"]:
+        taken[s["start"] : s["end"]] = [True] * (s["end"] - s["start"])
+    assert len(row["__base"]) > 20 * S.CHUNK and not any(any(taken[s["start"] : s["end"]]) for s in row["__found"])
+
+
 @pytest.mark.parametrize("which", ["pii", "secrets"])
 def test_base_spans_match_brute_force(spark, sample, which):
-    texts = [(i, t) for i, t in enumerate(ODD_TEXTS)] + [(1000 + r["doc_id"], r["text"]) for r in sample.collect()]
+    texts = [(i, t) for i, t in enumerate([*ODD_TEXTS, LONG_TEXT])] + [(1000 + r["doc_id"], r["text"]) for r in sample.collect()]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     if which == "pii":
         found, rules = by_id(pii.extract(docs).select("doc_id", S.written(F.col("__base")).alias("s")), "s"), PII_RULES
