@@ -489,6 +489,17 @@ def test_passages_are_found_exact_and_fuzzy(spark):
     assert near["start_word"] <= 1 and near["end_word"] >= 78 and 0.9 < near["identity"] < 1
 
 
+@pytest.mark.parametrize(("size", "every"), [(60, 9), (60, 10), (60, 12), (60, 15), (100, 10), (40, 12)])
+def test_passages_with_evenly_spread_edits_are_found(spark, size, every):
+    rows = []
+    for k in range(40):
+        words = prose(1000 + k, size).split()
+        edited = [f"edit{k}x{i}" if i % every == every - 1 else w for i, w in enumerate(words)]
+        rows += [(2 * k + n, f"{prose(2000 + 2 * k + n, 60)} {' '.join(w)} {prose(3000 + 2 * k + n, 60)}") for n, w in enumerate((words, edited))]
+    found = {(r["doc_id"], r["ref_doc_id"]) for r in substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(2 * k + 1, 2 * k) for k in range(40)} <= found
+
+
 def test_passages_link_all_that_share_fifty_words(sample):
     words = {r["doc_id"]: r["text"].encode().translate(common.LOWER).split() for r in sample.collect()}
     parent = {k: k for k in words}
