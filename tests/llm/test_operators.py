@@ -500,6 +500,22 @@ def test_passages_with_evenly_spread_edits_are_found(spark, size, every):
     assert {(2 * k + 1, 2 * k) for k in range(40)} <= found
 
 
+def test_passages_are_found_at_every_occurrence(spark):
+    shared = prose(1, 50)
+    often = " ".join(f"{prose(20 + i, 40)} {shared}" for i in range(5))
+    # the first document has half of the passage before the whole of it
+    half = f"{' '.join(shared.split()[:25])} {prose(40, 80)} {shared}"
+    edited = shared.split()
+    edited[12] = edited[37] = "edit"
+    rows = [(1, f"{prose(10, 40)} {shared} {prose(11, 40)}"), (2, often)]
+    found = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    starts = sorted(r["start_word"] for r in found)
+    assert [(r["doc_id"], r["ref_doc_id"]) for r in found] == [(2, 1)] * 5 and all(abs(s - (40 + 90 * i)) <= 4 for i, s in enumerate(starts))
+    rows = [(1, half), (2, f"{prose(12, 40)} {' '.join(edited)} {prose(13, 40)}")]
+    found = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert any(r["start_word"] <= 41 and r["end_word"] >= 89 and r["ref_start"] <= 106 for r in found)
+
+
 def test_passages_link_all_that_share_fifty_words(sample):
     words = {r["doc_id"]: r["text"].encode().translate(common.LOWER).split() for r in sample.collect()}
     parent = {k: k for k in words}
