@@ -516,6 +516,23 @@ def test_passages_are_found_at_every_occurrence(spark):
     assert any(r["start_word"] <= 41 and r["end_word"] >= 89 and r["ref_start"] <= 106 for r in found)
 
 
+def test_passages_are_not_hidden_by_phrases_of_an_earlier_document(spark):
+    shared = prose(1, 40).split()
+    # all 8-mers of the passage, in pieces of 12 words too short to be reported
+    phrases = " ".join(f"{' '.join(shared[i : i + 12])} {prose(50 + i, 100)}" for i in range(0, 40, 5))
+    rows = [(1, phrases), *((k, f"{prose(10 + k, 40)} {' '.join(shared)} {prose(20 + k, 40)}") for k in (2, 3, 4))]
+    found = {(r["doc_id"], r["ref_doc_id"]) for r in substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(3, 2), (4, 3)} == found
+
+
+def test_passages_next_to_each_other_are_both_found(spark):
+    one, two = prose(1, 40).split(), prose(2, 40).split()
+    edited = [f"edit{i}" if i >= 8 and i % 6 == 1 else w for i, w in enumerate(two)]
+    rows = [(1, f"{prose(10, 30)} {' '.join(two)} {prose(11, 90)} {' '.join(one)} {prose(12, 30)}"), (2, f"{prose(13, 30)} {' '.join(one)} {' '.join(edited)} {prose(14, 30)}")]
+    found = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == 2 and {r["ref_start"] > 100 for r in found} == {True, False}
+
+
 def test_passages_link_all_that_share_fifty_words(sample):
     words = {r["doc_id"]: r["text"].encode().translate(common.LOWER).split() for r in sample.collect()}
     parent = {k: k for k in words}
