@@ -1,17 +1,17 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Base rules (email, ip, card, phone) give the seed entities. Every run of identifier-like tokens (tokens
-with a digit or an at sign) is an occurrence of an instance, its text, in patterns, its contexts: the two words before it, and
+with a digit or an at sign), cut at base spans, is an occurrence of an instance, its text, in patterns, its contexts: the two words before it, and
 the word before it with the word after it. Patterns and instances form a graph, which is scored iteratively for each
 kind: a pattern's score is the share of its instances' scores (smoothed), an instance's score that any of
-its patterns holds (noisy or), and seeds score one. Patterns with enough distinct seeds and a high final score
-discover the remaining occurrences in their contexts, if those have the form of the kind.
+its patterns holds (noisy or), and seeds score one. Patterns with enough distinct seeds, or instances that have the form of the kind and
+came to a high score in an earlier round, and a high final score discover the remaining occurrences in their contexts, if those have the form of the kind.
 Base spans always stay; discovered spans that overlap one are dropped.
 
 The graph holds distinct pairs only, counted before they are shuffled, so a passage that very many documents share is one edge.
 
 Defined results for odd input: a null or empty text has no spans. Null ids and repeated rows are returned row by row. An
-occurrence at the start of a text has no words before it and so no patterns. Other columns are ignored.
+occurrence at the start of a text has no words before it and so no patterns; one right behind a base span has its kind before it. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: A run of tokens with a digit or an at sign.
 OCCURRENCE = r"(?<![^\s])[^\s0-9@]*+[0-9@][^\s]*+(?:\x20[^\s0-9@]*+[0-9@][^\s]*+)*+"
 ROUNDS = 3
-#: A pattern extracts if it has this many distinct seeds and this final score.
+#: A pattern extracts if it has this many distinct seeds or sure instances and this final score.
 LEAST_SEEDS = 3
 LEAST_SCORE = 0.6
 #: Instances without a kind that every pattern is taken to have besides its own.
@@ -65,7 +65,8 @@ BASE = [
     Rule("phone", PHONE, lambda m: F.length(_digits(m)).between(9, 15), lambda t: t.contains("+")),
 ]
 KINDS = [r.kind for r in BASE]
-_SEEN = "array<struct<start:int,end:int,instance:string,two:string,around:string>>"
+_SEEN = "array<struct<start:int,end:int,instance:string,left:string,right:string>>"
+_PIECES = "array<struct<start:int,end:int,instance:string,two:string,around:string,kinds:array<string>>>"
 
 
 def base_spans(text: Column) -> Column:
@@ -73,7 +74,7 @@ def base_spans(text: Column) -> Column:
 
 
 def _occurrences(text: Column) -> Column:
-    """Runs of identifier-like tokens with their contexts."""
+    """Runs of identifier-like tokens with the two words before and the word after."""
     found, between = S.pairs(text, OCCURRENCE)
     matches = F.zip_with(found, between, lambda m, b: F.struct(m.alias("m"), F.length(b).alias("skip"), F.lower(F.substring_index(F.trim(b), " ", -2)).alias("left")))
     after = F.transform(F.slice(between, 2, F.greatest(F.size(between) - 1, F.lit(0))), lambda b: F.lower(F.substring_index(F.trim(b), " ", 1)))
@@ -81,21 +82,61 @@ def _occurrences(text: Column) -> Column:
     nothing = F.array().cast(_SEEN)
 
     def one(start: Column, end: Column, p: Column) -> Column:
-        around = F.concat(F.substring_index(p["left"], " ", -1), F.lit(" _ "), F.coalesce(p["right"], F.lit("")))
-        seen = F.struct(start.alias("start"), end.alias("end"), p["m"].alias("instance"), p["left"].alias("two"), around.alias("around"))
-        return F.when(p["left"].isNotNull() & (p["left"] != ""), F.array(seen).cast(_SEEN)).otherwise(nothing)
+        seen = F.struct(start.alias("start"), end.alias("end"), p["m"].alias("instance"), F.coalesce(p["left"], F.lit("")).alias("left"), F.coalesce(p["right"], F.lit("")).alias("right"))
+        return F.array(seen).cast(_SEEN)
 
     return F.when(text.rlike("[0-9@]"), S.placed(matches, _SEEN, one)).otherwise(nothing)
 
 
+def _last(words: Column) -> Column:
+    return F.substring_index(words, " ", -1)
+
+
+def _piece(start: Column, instance: Column, left: Column, right: Column, kinds: Column) -> Column:
+    """An array of one occurrence, or of none if no word is before it."""
+    piece = F.struct(start.cast("int").alias("start"), (start + F.length(instance)).cast("int").alias("end"), instance.alias("instance"), left.alias("two"), F.concat(_last(left), F.lit(" _ "), right).alias("around"), kinds.cast("array<string>").alias("kinds"))
+    return F.when((left != "") & (instance != ""), F.array(piece).cast(_PIECES)).otherwise(F.array().cast(_PIECES))
+
+
+def _split(o: Column, spans: Column) -> Column:
+    """A run cut at the base spans in it: these with their kinds, and the runs between them. In contexts spans stand as their kinds, runs as <*>."""
+
+    def text(start: Column, end: Column) -> Column:
+        return F.substring(o["instance"], start - o["start"] + 1, F.greatest(end - start, F.lit(0)))
+
+    def rest(start: Column, end: Column, left: Column, right: Column) -> Column:
+        def found(part: Column) -> Column:
+            # what is cut off a token may have no digit; only the first and last token can be such
+            return S.once(F.regexp_extract(part, OCCURRENCE, 0), lambda m: _piece(start + F.instr(part, m) - 1, m, left, right, F.array()))
+
+        return S.once(text(start, end), found)
+
+    def step(held: Column, s: Column) -> Column:
+        start, end = F.greatest(s["start"], o["start"]), F.least(s["end"], o["end"])
+        tag = F.concat(F.lit("<"), s["kind"], F.lit(">"))
+        gap = text(held["at"], start).rlike("[0-9@]")
+        left = F.when(start < held["at"], held["own"]).when(gap, F.ltrim(F.concat(_last(held["left"]), F.lit(" <*>")))).otherwise(held["left"])
+        right = F.when(text(end, o["end"]).rlike("[0-9@]"), F.lit("<*>")).otherwise(o["right"])
+
+        def after(own: Column) -> Column:
+            parts = F.concat(held["parts"], rest(held["at"], start, held["left"], tag), _piece(start, text(start, end), own, right, F.array(s["kind"])))
+            return F.struct(F.greatest(held["at"], end).cast("int").alias("at"), F.ltrim(F.concat(_last(own), F.lit(" "), tag)).alias("left"), own.alias("own"), parts.alias("parts"))
+
+        return S.once(left, after)
+
+    begin = F.struct(o["start"].alias("at"), o["left"].alias("left"), o["left"].alias("own"), F.array().cast(_PIECES).alias("parts"))
+    cut = F.aggregate(F.array_sort(spans), begin, step, lambda held: F.concat(held["parts"], rest(held["at"], o["end"], held["left"], o["right"])))
+    return F.when(F.size(spans) == 0, _piece(o["start"], o["instance"], o["left"], o["right"], F.array())).otherwise(cut)
+
+
 def _with_kinds(base: Column, seen: Column) -> Column:
-    """Occurrences with the kinds of the base spans that they overlap, looked for among those near their chunk."""
+    """Occurrences, cut at the base spans that they overlap and with their kinds; these are looked for among those near their chunk."""
 
     def overlapping(spans: Column, start: Column, end: Column) -> Column:
         return F.filter(spans, lambda s: (s["start"] < end) & (start < s["end"]))
 
     def mark(chunk: Column, near: Column) -> Column:
-        return F.transform(chunk, lambda o: o.withField("kinds", F.transform(overlapping(near, o["start"], o["end"]), lambda s: s["kind"])))
+        return F.flatten(F.transform(chunk, lambda o: S.once(overlapping(near, o["start"], o["end"]), lambda own: _split(o, own))))
 
     def each(chunk: Column, spans: Column) -> Column:
         near = overlapping(spans, F.get(chunk, F.lit(0))["start"], F.get(chunk, F.size(chunk) - 1)["end"])
@@ -105,20 +146,19 @@ def _with_kinds(base: Column, seen: Column) -> Column:
 
 
 def _score(edges: DataFrame, rounds: int) -> DataFrame:
-    """pattern, kind, seeds, score after ``rounds`` rounds over edges (pattern, instance, kind or null if it is no seed)."""
-    seeds = edges.where(F.col("kind").isNotNull()).select("instance", "kind").distinct().withColumn("belief", F.lit(1.0))
+    """pattern, kind, score after ``rounds`` rounds over edges (pattern, instance, kind or null if it is no seed)."""
+    seeds = edges.where(F.col("kind").isNotNull()).select("instance", "kind").distinct().withColumns({"belief": F.lit(1.0), "sure": F.lit(1)})
     plain = edges.select("pattern", "instance").distinct()
     size = plain.groupBy("pattern").agg(F.count(F.lit(1)).alias("size"))
-    support = edges.where(F.col("kind").isNotNull()).groupBy("pattern", "kind").agg(F.countDistinct("instance").alias("seeds"))
     beliefs = seeds
     for n in range(rounds):
-        mass = plain.join(beliefs, "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("mass"))
+        mass = plain.join(beliefs, "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("mass"), F.sum("sure").alias("support")).where(F.col("support") >= LEAST_SEEDS)
         scored = mass.join(size, "pattern").select("pattern", "kind", (F.col("mass") / (F.col("size") + SMOOTHING)).alias("score"))
-        scored = scored.join(support, ["pattern", "kind"]).where(F.col("seeds") >= LEAST_SEEDS)
         scored = materialize(scored)
         if n + 1 < rounds:
             reached = plain.join(scored, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.999)))))).alias("belief"))
-            beliefs = materialize(reached.unionByName(seeds).groupBy("instance", "kind").agg(F.max("belief").alias("belief")))
+            reached = reached.withColumn("sure", ((F.col("belief") >= LEAST_SCORE) & _has_form(F.col("kind"), F.col("instance"))).cast("int"))
+            beliefs = materialize(reached.unionByName(seeds).groupBy("instance", "kind").agg(F.max("belief").alias("belief"), F.max("sure").alias("sure")))
     return scored
 
 

@@ -448,6 +448,25 @@ def test_pii_contexts_discover_identifiers(spark):
     assert found[10] == (f"phone:{at}:{at + 12}",) and found[11] == ("",) and all(found[i] == ("",) for i in range(6))
 
 
+def test_pii_is_discovered_beside_base_spans(spark):
+    seeds = [(i, f"{prose(i, 20)} mail u{i}@ex.com +1 (555) 010-{1000 + i} today. {prose(50 + i, 5)}") for i in range(6)]
+    hidden = [(10, "mail jane@ex.com 030 1234567 today. ok"), (11, f"{prose(61, 9)} mail jane@ex.com, 030 7654321 today."), (12, "a@b.co 030 7777777")]
+    found = by_id(pii.extract(spark.createDataFrame(seeds + hidden, "doc_id long, text string")).select("doc_id", S.written(F.col("__found")).alias("s")), "s")
+    for k, number in ((10, "030 1234567"), (11, "030 7654321")):
+        at = dict(hidden)[k].index(number)
+        assert found[k] == (f"phone:{at}:{at + len(number)}",)
+    assert all(found[i] == ("",) for i in (*range(6), 12))
+
+
+def test_pii_discovered_instances_support_new_patterns(spark):
+    seeds = [(i, f"please call me at +1 (555) 010-{1000 + i} today.") for i in range(9)]
+    found_once = [(20 + i, f"please call me at 555-020-{2000 + i} today.") for i in range(4)]
+    again = [(30 + i, f"reach our desk via 555-020-{2000 + i} anytime.") for i in range(4)]
+    docs = spark.createDataFrame([*seeds, *found_once, *again, (40, "reach our desk via 555-030-9999 anytime.")], "doc_id long, text string")
+    found = by_id(pii.extract(docs).select("doc_id", S.written(F.col("__found")).alias("s")), "s")
+    assert found[20] == ("phone:18:30",) and found[30] == ("phone:19:31",) and found[40] == ("phone:19:31",)
+
+
 def test_pii_and_secrets_odd_input(spark, odd, nothing):
     for name in ("op1_pii", "op10_secret_scan"):
         assert name in queries.QUERIES
