@@ -276,13 +276,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows without words stay. Rows that repeat both id and text are one document, and stay or go together.
     """
-    rows = docs.withColumns({"__node": _nodes(docs)})
-    slim = rows.select("doc_id", "__node", "text")
-    found = links(slim)
+    # the caller's row is one column, so no name in it can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _nodes(docs).alias("__node"))
+    found = links(rows.select("__node", F.col("row.text").alias("text")))
     rooted = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    own = rows.select("doc_id", "__node").where(F.col("__node").isNotNull()).join(rooted.withColumnRenamed("node", "__node"), "__node", "left")
-    own = own.withColumn("__root", F.coalesce("root", "__node"))
-    first = own.groupBy("__root").agg(F.min(F.struct("doc_id", "__node")).alias("__first")).select(F.col("__first.doc_id").alias("__id"), F.col("__first.__node").alias("__keep"))
-    marked = rows.join(first.withColumn("__hit", F.lit(True)), (F.col("__node") == F.col("__keep")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    kept = marked.where(F.col("__node").isNull() | F.col("__hit"))
-    return kept.select(*docs.columns)
+    # copies meet as one row for each task at most
+    least = rows.where(F.col("__node").isNotNull()).groupBy("__node").agg(F.min("row.doc_id").alias("least"), F.max(F.col("row.doc_id").isNull()).alias("null"))
+    least = least.join(rooted.withColumnRenamed("node", "__node"), "__node", "left").withColumn("__root", F.coalesce("root", "__node"))
+    order = F.struct(~F.col("null"), F.col("least"), F.col("__node"))
+    first = least.groupBy("__root").agg(F.min_by(F.struct("__node", F.when(~F.col("null"), F.col("least")).alias("id")), order).alias("f"))
+    first = first.select(F.col("f.__node").alias("keep"), F.col("f.id").alias("id"))
+    marked = rows.join(first, (F.col("__node") == F.col("keep")) & F.col("row.doc_id").eqNullSafe(F.col("id")), "left")
+    return marked.where(F.col("__node").isNull() | F.col("keep").isNotNull()).select("row.*")

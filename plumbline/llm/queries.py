@@ -108,12 +108,10 @@ h AS (SELECT *, len(t) AS n, CAST(floor((len(t) - {line_dedup.LEADING}) / 2) AS
 k AS (SELECT rid, i, 'all ' || n || ' ' || array_to_string(t, ' ') AS key FROM h WHERE n < {line_dedup.SHORT}
       UNION ALL SELECT rid, i, 'first ' || n || ' ' || array_to_string(t[1 : {line_dedup.LEADING} + half], ' ') FROM h WHERE n >= {line_dedup.SHORT}
       UNION ALL SELECT rid, i, 'second ' || n || ' ' || array_to_string(t[1 : {line_dedup.LEADING}], ' ') || ' | ' || array_to_string(t[{line_dedup.LEADING} + half + 1 : n], ' ') FROM h WHERE n >= {line_dedup.SHORT}),
-often AS (SELECT key FROM k GROUP BY key HAVING count(DISTINCT rid) >= {line_dedup.MIN_DOCS}),
+often AS (SELECT key FROM k JOIN d USING (rid) GROUP BY key HAVING count(DISTINCT d.text) >= {line_dedup.MIN_DOCS}),
 hit AS (SELECT DISTINCT rid, i FROM k JOIN often USING (key)),
 kept AS (SELECT l.rid, coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (hit.i IS NULL), '') AS text, count(*) AS n, count(hit.i) AS gone
          FROM l LEFT JOIN hit ON l.rid = hit.rid AND l.i = hit.i GROUP BY l.rid)
-SELECT d.doc_id, CASE WHEN kept.gone > 0 AND length(kept.text) >= {1 - line_dedup.MAX_SHARE} * length(d.text) THEN kept.text ELSE d.text END AS text,
-       CAST(coalesce(kept.n, 0) AS BIGINT) AS n_lines,
-       CAST(CASE WHEN kept.gone > 0 AND length(kept.text) >= {1 - line_dedup.MAX_SHARE} * length(d.text) THEN kept.gone ELSE 0 END AS BIGINT) AS n_dropped
+SELECT d.doc_id, CASE WHEN kept.gone > 0 THEN kept.text ELSE d.text END AS text, CAST(coalesce(kept.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(kept.gone, 0) AS BIGINT) AS n_dropped
 FROM d LEFT JOIN kept USING (rid)""",
 }

@@ -84,17 +84,58 @@ def test_lines_of_a_very_long_text(spark):
     assert found[1] == ("\n".join(x for x in long if x.startswith("own")), 9000, 3000)
 
 
-def test_lines_leave_whole_copies(spark):
-    docs = spark.createDataFrame([(i, prose(1, 40) + "\n" + prose(2, 40)) for i in range(6)], "doc_id long, text string")
-    assert all(r["__n_dropped"] == 0 for r in line_dedup.dedup(docs).collect())
-
-
-def test_lines_odd_input(odd, nothing):
-    found = line_dedup.dedup(odd)
-    assert found.columns == [*odd.columns, "__n_lines", "__n_dropped"] and found.count() == 13
-    rows = by_id(found, "text", "__n_lines")
-    assert rows[1] == (None, 0) and rows[2] == ("", 1)
-    assert line_dedup.dedup(nothing).collect() == []
+def test_lines_of_exact_copies_are_one_and_all_recurring_lines_go(spark):
+    copies = [(i, prose(1, 40) + "\n" + prose(2, 40)) for i in range(6)]
+    near = [(10 + i, f"{prose(3, 40)}\n{prose(4, 40)}\nown line of {'abcd'[i]} alone {'efgh'[i]}") for i in range(4)]
+    docs = spark.createDataFrame(copies + near, "doc_id long, text string")
+    found = by_id(line_dedup.dedup(docs), "text", "__n_dropped")
+    assert all(found[i] == (t, 0) for i, t in copies)
+    assert all(found[i] == (t.split("\n")[2], 2) for i, t in near)  # over half of each text
+    first = by_id(line_dedup.dedup(docs, keep_first=True), "text", "__n_dropped")
+    assert first[10] == (near[0][1], 0) and all(first[i] == found[i] for i in (11, 12, 13)) and all(first[i] == (t, 0) for i, t in copies)
+
+
+def _brute_lines(rows, min_docs=3):
+    def templates(line):
+        t = ["<*>" if re.search("[0-9]", x) else x for x in line.strip(" ").split(" ")]
+        if t == [""]:
+            return []
+        half = (len(t) - 3) // 2
+        if len(t) < 8:
+            return [("all", *t)]
+        return [("first", len(t), *t[: 3 + half]), ("second", len(t), *t[:3], "|", *t[3 + half :])]
+
+    holders = {}
+    for _, text in rows:
+        for line in (text or "").split("\n"):
+            for t in templates(line):
+                holders.setdefault(t, set()).add(text)
+    often = {t for t, own in holders.items() if len(own) >= min_docs}
+    return {k: text and "\n".join(x for x in text.split("\n") if not often.intersection(templates(x))) for k, text in rows}
+
+
+@pytest.mark.parametrize("partitions", ["2", "40"])  # with 40, common templates are cut in pieces
+def test_lines_match_brute_force(spark, sample, partitions):
+    rows = [(r["doc_id"], r["text"]) for r in sample.select("doc_id", "text").collect()]
+    rows += [(10_000 + i, f"{prose(i, 9)}\nmenu home about\n{prose(500 + i, 12)}\nseen on {i} days by all of our readers here") for i in range(300)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = by_id(line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)), "text")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == {k: (t,) for k, t in _brute_lines(rows).items()}
+
+
+def test_lines_and_classes_leave_clashing_columns_alone(spark):
+    names = ["__text", "__doc", "__node", "__hit", "__kept", "__n_lines", "__piece", "row", "digest", "gone", "hit_doc", "root", "template", "key", "rows", "first"]
+    rows = [(i, f"{prose(i % 4, 30)}\nthe same line in all", *[f"{n}{i}" for n in names]) for i in range(9)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    cut = line_dedup.dedup(docs)
+    assert cut.columns == [*docs.columns, "__n_lines_", "__n_dropped"]
+    assert {r["doc_id"]: tuple(r)[2 : 2 + len(names)] for r in cut.collect()} == {r[0]: r[2:] for r in rows}
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == set(rows[:4])
 
 
 def test_native_operators_have_no_python(sample):
