@@ -3,11 +3,16 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 back as the next stage's documents. Decisions take effect: rejected, duplicate and contaminated
 documents go, recurring lines are cut out of texts. All stages but the last return the columns of documents.
+
+Defined results for odd input: a null text, or one without a letter, has no language and goes in the first stage. Null ids and null cells in other columns go
+through; rows that repeat both id and text stay or go together. A document all of whose lines recur in earlier documents goes in the second stage.
+Extra columns go through up to the last stage, whatever their names. An empty table gives an empty table of the same columns.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, jaccard_join, language_id, line_dedup, sentencepiece
 from plumbline.llm.common import materialize, table
@@ -19,8 +24,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates are cut out of texts; every document stays."""
-    return line_dedup.dedup(docs).select(*docs.columns)
+    """Lines of recurring templates are cut out of all documents but the first that has them; those of which nothing is left go."""
+    return line_dedup.dedup(docs, keep_first=True).select(*docs.columns).where(F.col("text").rlike(r"[^ \t-\r]"))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
