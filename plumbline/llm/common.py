@@ -72,23 +72,24 @@ def free(docs: DataFrame, name: str) -> str:
     return name
 
 
-def spread(left: DataFrame, right: DataFrame, key: str, rows: str, how: str = "inner") -> DataFrame:
+def spread(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right`` on ``key``, with the rows of very common keys dealt over many tasks.
 
-    ``right`` is a written table with one row for each key and the number ``rows`` of rows that ``left`` has of it. A key with over twice
+    ``counts`` is a written table of the key and the number ``rows`` of rows that ``left`` has of it. A key with over twice
     a partition's share of the rows is cut in as many pieces as shares it has. There are fewer such keys than half the
     partitions, so what is broadcast to find them is bounded, and at most twice as many pieces as partitions. Columns but the key have different names.
     """
-    spark = left.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = right.agg(F.sum(rows)).head()[0] or 0
-    shares = F.ceil(F.col(rows) * parts / max(total, 1)).cast("int")
-    hot = right.where(F.col(rows) * parts > 2 * total).select(F.col(key).alias("__hot"), shares.alias("__pieces"))
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = counts.agg(F.sum("rows")).head()[0] or 0
+    hot = counts.where(F.col("rows") * parts > 2 * total).select(F.col(key).alias("__hot"), F.ceil(F.col("rows") * parts / max(total, 1)).cast("int").alias("__pieces"))
+
+    def dealt(rows: DataFrame, piece: Column) -> DataFrame:
+        return rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__piece", piece).drop("__hot", "__pieces")
+
+    pieces = F.coalesce("__pieces", F.lit(1))
     # a row's piece follows from its partition and values, so a task that runs again gives the same
-    piece = F.pmod(F.xxhash64(*[c for c in left.columns if c != key]) + F.spark_partition_id(), F.coalesce("__pieces", F.lit(1)))
-    dealt = left.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__piece", piece.cast("int")).drop("__hot", "__pieces")
-    copies = F.when(F.col(rows) * parts > 2 * total, F.sequence(F.lit(0), shares - 1)).otherwise(F.array(F.lit(0)))
-    return dealt.join(right.withColumn("__piece", F.explode(copies)).drop(rows), [key, "__piece"], how).drop("__piece")
+    one = F.pmod(F.xxhash64(*[c for c in left.columns if c != key]) + F.spark_partition_id(), pieces).cast("int")
+    return dealt(left, one).join(dealt(right, F.explode(F.sequence(F.lit(0), pieces - 1))), [key, "__piece"], how).drop("__piece")
 
 
 def id_remainder(doc_id: Column, divisor: int) -> Column:

@@ -74,7 +74,7 @@ def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = False) -
     often = materialize(recurring(found, min_docs))
     lines = found.select("doc", "digest", F.posexplode_outer("lines").alias("line", "templates"))
     lines = lines.select("doc", "digest", "line", F.explode_outer("templates").alias("template")).where(F.col("template").isNotNull())
-    hit = spread(lines, often, "template", "rows")
+    hit = spread(lines, often.drop("rows"), "template", often)
     if keep_first:
         hit = hit.where(~F.col("doc").eqNullSafe(F.col("first")))
     hit = hit.groupBy(F.col("doc").alias("hit_doc"), F.col("digest").alias("hit_digest")).agg(F.collect_set("line").alias("gone"))
