@@ -13,5 +13,5 @@ def _kinds(*names: str) -> None:
 
 
 _kinds(
-    "SyntaxFault", "StatementTooLong", "InvalidIdentifier", "UnknownTable", "UnknownColumn", "AmbiguousColumn", "DuplicateAlias", "DuplicateName", "TypeMismatch", "NullComparison", "ParameterCount", "InvalidTimestamp", "LimitExceeded", "JoinDepthExceeded", "UnindexedJoin", "ScanBudgetExceeded", "SortBufferExceeded", "InvalidJoin", "InvalidView", "DependencyConflict", "ReadOnlyView", "NotNullViolation", "DuplicateKey", "UniqueViolation", "ReferenceViolation", "LinkViolation", "ImmutableKey", "ArityMismatch", "TextTooLong", "RowTooLarge", "InvalidDefault", "InvalidExpand", "UnknownDomain", "DomainDeleting", "InvalidDomain", "KeyTooLong", "ValueTooLarge", "UnknownIndex", "InvalidIndexField", "EmptyFilter", "VersionConflict", "InvalidDocument", "ArchiveCorrupt", "AlreadyExists", "RateLimited", "Forbidden",
+    "SyntaxFault", "StatementTooLong", "InvalidIdentifier", "UnknownTable", "UnknownColumn", "AmbiguousColumn", "DuplicateAlias", "DuplicateName", "TypeMismatch", "NullComparison", "ParameterCount", "InvalidTimestamp", "LimitExceeded", "JoinDepthExceeded", "UnindexedJoin", "ScanBudgetExceeded", "SortBufferExceeded", "InvalidJoin", "InvalidView", "DependencyConflict", "ReadOnlyView", "NotNullViolation", "DuplicateKey", "UniqueViolation", "ReferenceViolation", "LinkViolation", "ImmutableKey", "ArityMismatch", "TextTooLong", "RowTooLarge", "InvalidDefault", "InvalidExpand", "UnknownDomain", "DomainDeleting", "InvalidDomain", "KeyTooLong", "ValueTooLarge", "UnknownIndex", "InvalidIndexField", "EmptyFilter", "VersionConflict", "InvalidDocument", "ArchiveCorrupt", "AlreadyExists", "RateLimited", "Forbidden", "SequenceExhausted", "ReindexRunning", "BackupRunning", "NoSharedFolder",
 )

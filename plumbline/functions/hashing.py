@@ -24,6 +24,24 @@ def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+def to_hex(data: bytes) -> str:
+    """Two lower-case digits for each byte."""
+    return data.hex()
+
+
+def from_hex(text: str) -> bytes | None:
+    """The bytes of pairs of hexadecimal digits; None for any other text."""
+    return bytes.fromhex(text) if len(text) % 2 == 0 and all(c in "0123456789abcdefABCDEF" for c in text) else None
+
+
+def hexed(value: Column) -> Column:
+    return F.lower(F.hex(value))
+
+
+def unhexed(text: Column) -> Column:
+    return F.when(F.length(text) % 2 == 0, F.try_to_binary(text, F.lit("hex")))
+
+
 def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 

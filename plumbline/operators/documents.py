@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import secrets
+import time
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import errors
@@ -45,6 +46,7 @@ class Page:
     total: int
     offset: int
     limit: int
+    keys: tuple[str, ...] = ()
 
 
 def condition(indexes: dict[str, str], filters: dict, document=None):
@@ -78,7 +80,8 @@ class Documents:
         self._held = f"{self.path}/_indexes.json"  # Parquet readers pass over names with an underscore
         held = json.loads(self.store.read(self._held)) if self.store.exists(self._held) else {}
         self.indexes: dict[str, Index] = {p: Index(**i) for p, i in held.items()}
-        self.reindexed: list[dict] = []
+        self.tasks: dict[str, dict] = {}
+        self._running: str | None = None
 
     def _keep_indexes(self) -> None:
         self.store.write(self._held, json.dumps({p: vars(i) for p, i in self.indexes.items()}))
@@ -88,8 +91,8 @@ class Documents:
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).parquet(self.path)
 
-    def live(self) -> DataFrame:
-        return V.latest(self.log()).where(F.col("op") != V.DELETE)
+    def live(self, snapshot: int | None = None) -> DataFrame:
+        return V.latest(self.log(), snapshot).where(F.col("op") != V.DELETE)
 
     def keys(self) -> DataFrame:
         return self.live().select("key")
@@ -128,12 +131,12 @@ class Documents:
 
     def load(self, lines: DataFrame) -> int:
         """Bulk load of (line, key, content) rows: a later line of a key replaces an earlier one, and each counts as a version."""
-        by = Window.partitionBy("key").orderBy("line")
         now = self.live().select("key", F.col("version").alias("__version"), F.col("generation").alias("__generation"))
         base = self.clock.tick()
         fresh = F.pmod(F.xxhash64("key", F.lit(base)), F.lit(1 << 48))
-        last = Window.partitionBy("key")
-        rows = lines.withColumns({"__n": F.row_number().over(by), "__of": F.count(F.lit(1)).over(last)}).where("__n = __of").join(now, "key", "left")
+        # the last line and the number of lines of a key are partially aggregated, so a key with very many lines is no task of its own
+        last = lines.groupBy("key").agg(F.max(F.struct("line", "content")).alias("__last"), F.count(F.lit(1)).alias("__n"))
+        rows = last.withColumn("content", F.col("__last.content")).join(now, "key", "left")
         rows = rows.select("key", "content", (F.coalesce("__version", F.lit(0)) + F.col("__n")).cast("long").alias("version"), F.coalesce("__generation", fresh).alias("generation"), F.lit(base).alias("ts"), F.lit(V.PUT).alias("op"), F.lit(0).cast("long").alias("expire_at"))
         self._append(rows)
         return lines.count()
@@ -154,14 +157,33 @@ class Documents:
             raise errors.UnknownIndex(path)
         self._keep_indexes()
 
-    def reindex(self) -> dict:
-        """From now on all documents are found by all indexes. Doing it again changes nothing."""
-        status = {"status": "running", "documents": 0}
-        self.reindexed.append(status)
-        for index in self.indexes.values():
-            index.since = 0
-        self._keep_indexes()
-        status |= {"status": "completed", "documents": self.count()}
+    def reindex(self, path: str | None = None) -> dict:
+        """From now on all documents are found by all indexes, or by one. Doing it again changes nothing.
+
+        A task of the domain, one at a time, whose state ``tasks`` holds by its id: running, completed with the documents it covered, or failed with the reason.
+        """
+        if self._running is not None:
+            raise errors.ReindexRunning(self._running)
+        if path is not None and path not in self.indexes:
+            raise errors.UnknownIndex(path)
+        task, began = str(uuid.uuid4()), time.time()
+        self._running = task
+        status = self.tasks[task] = {"task": task, "status": "running", "documents": 0}
+        before = {p: i.since for p, i in self.indexes.items()}
+        try:
+            documents = self.count()
+            for name, index in self.indexes.items():
+                if path in (None, name):
+                    index.since = 0
+            self._keep_indexes()
+            status |= {"status": "completed", "documents": documents, "seconds": int(time.time() - began)}
+        except Exception as e:
+            for name, since in before.items():
+                self.indexes[name].since = since
+            status |= {"status": "failed", "error": str(e)}
+            raise
+        finally:
+            self._running = None
         return status
 
     def search(self, filters: dict, limit: int | None = None, offset: int = 0) -> Page:
@@ -169,12 +191,14 @@ class Documents:
         since = max(self.indexes[p].since for p in filters)
         return self._page(self.live().where((F.col("ts") >= since) & wanted), limit, offset)
 
-    def list(self, limit: int | None = None, offset: int = 0) -> Page:
-        return self._page(self.live(), limit, offset)
+    def list(self, limit: int | None = None, offset: int = 0, keys_only: bool = False) -> Page:
+        return self._page(self.live(), limit, offset, keys_only)
 
     def count(self) -> int:
         return self.live().count()
 
-    def _page(self, found: DataFrame, limit: int | None, offset: int) -> Page:
-        rows, total, held = page(found.select("key", "content", "version", "generation"), limit, offset)
-        return Page([Document(r["key"], json.loads(r["content"]), r["version"], r["generation"]) for r in rows.collect()], total, offset, held)
+    def _page(self, found: DataFrame, limit: int | None, offset: int, keys_only: bool = False) -> Page:
+        rows, total, held = page(found.select("key", *([] if keys_only else ["content", "version", "generation"])), limit, offset)
+        rows = rows.collect()
+        documents = [] if keys_only else [Document(r["key"], json.loads(r["content"]), r["version"], r["generation"]) for r in rows]
+        return Page(documents, total, offset, held, tuple(r["key"] for r in rows))

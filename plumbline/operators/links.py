@@ -60,8 +60,11 @@ def doc_lookup(live: DataFrame) -> DataFrame:
     return live.select(F.col("key").alias("__key"), F.concat(F.lit('{"exists":true,"document":'), F.col("content"), F.lit("}")).alias("__object"))
 
 
-def expand(frame: DataFrame, planned: Planned, positions: list[int], engine) -> DataFrame:
-    """``frame`` with one JSON text for each target: the row, value or document that a cell names, null for null."""
+def expand(frame: DataFrame, planned: Planned, positions: list[int], engine, bounded: bool = False) -> DataFrame:
+    """``frame`` with one JSON text for each target: the row, value or document that a cell names, null for null.
+
+    With ``bounded`` the frame has been limited, so its keys are broadcast and only what they name is rendered.
+    """
     names = [f"__o{i}" for i in range(len(planned.names))]
     order = frame.toDF(*names).withColumn("__n", F.monotonically_increasing_id()) if planned.ordered else frame.toDF(*names)
     for k, i in enumerate(positions):
@@ -69,13 +72,19 @@ def expand(frame: DataFrame, planned: Planned, positions: list[int], engine) ->
         column = table.column(planned.refs[i].column)
         if column.references:
             target = engine.catalog.table(column.references)
-            found, missing = reference_lookup(engine.scan(target), target), F.lit(None).cast("string")
+            rows = engine.scan(target)
+            if bounded:
+                rows = rows.join(F.broadcast(order.select(F.col(f"__o{i}").alias(target.primary_key)).distinct()), target.primary_key, "left_semi")
+            found, missing = reference_lookup(rows, target), F.lit(None).cast("string")
         else:
             domain = engine.kv if column.link == "kv" else engine.docs
             if domain is None:
                 order = order.withColumn(f"__x{k}", F.lit(None).cast("string"))
                 continue
-            found = kv_lookup(domain.live()) if column.link == "kv" else doc_lookup(domain.live())
+            live = domain.live()
+            if bounded:
+                live = live.join(F.broadcast(order.select(F.col(f"__o{i}").alias("key")).distinct()), "key", "left_semi")
+            found = kv_lookup(live) if column.link == "kv" else doc_lookup(live)
             missing = F.when(F.col(f"__o{i}").isNotNull(), F.lit('{"exists":false}'))
         found = found.withColumnsRenamed({"__key": f"__k{k}", "__object": f"__x{k}"})
         order = order.join(found, F.col(f"__o{i}") == F.col(f"__k{k}"), "left").withColumn(f"__x{k}", F.coalesce(f"__x{k}", missing)).drop(f"__k{k}")

@@ -27,6 +27,9 @@ from plumbline.plans.planner import SPARK_TYPES, Planned, Planner, coerce, decla
 from plumbline.sources.store import Store
 
 
+MAX_INTEGER = (1 << 63) - 1
+
+
 @dataclass
 class SelectResult:
     columns: list[str]
@@ -73,19 +76,21 @@ class Relational:
     def _physical(self, table: Table) -> T.StructType:
         return T.StructType([T.StructField("__schema", T.IntegerType()), *(T.StructField(f"c{c.col_id}", SPARK_TYPES[c.type]) for c in table.columns)])
 
-    def scan(self, table: Table, masked: bool = True) -> DataFrame:
+    def scan(self, table: Table, masked: bool = True, parts: list[int] | None = None, number: bool = False) -> DataFrame:
         """All rows under declared names. A column that is younger than a row reads as its literal default; link cells of a domain that is gone read as null."""
         if table.path:
             frame = self.spark.read.parquet(table.path)
         elif not table.parts:
             frame = self._named(self.spark.createDataFrame([], self._physical(table)), table)
         else:
-            frame = self._named(self.spark.read.schema(self._physical(table)).parquet(*[self._folder(table, p) for p in table.parts]), table)
+            held = self.spark.read.schema(self._physical(table)).parquet(*[self._folder(table, p) for p in (table.parts if parts is None else parts)])
+            part = [F.regexp_extract(F.col("_metadata.file_path"), "/p([0-9]+)/[^/]*$", 1).cast("int").alias("__part")] if number else []
+            frame = self._named(held, table, part)
         return links.mask(frame, table, self.kv is None, self.docs is None) if masked else frame
 
     @staticmethod
-    def _named(frame: DataFrame, table: Table) -> DataFrame:
-        out = []
+    def _named(frame: DataFrame, table: Table, more: list | None = None) -> DataFrame:
+        out = list(more or [])
         for c in table.columns:
             value = F.col(f"c{c.col_id}")
             if c.since and c.default is not None:
@@ -136,20 +141,22 @@ class Relational:
         self._budget(planned)
         if statement.count:
             return SelectResult(["count"], [tuple(planned.frame.head())], False)
-        if planned.ordered and (n := planned.frame.limit(limits.sort_rows + 1).count()) > limits.sort_rows:
+        # a count of the rows before they are sorted, which stops early
+        if planned.ordered and (n := planned.rows.limit(limits.sort_rows + 1).count()) > limits.sort_rows:
             raise errors.SortBufferExceeded(n, limits.sort_rows)
         wanted = limits.default_limit if statement.limit is None else statement.limit
         take = min(wanted, limits.max_limit)
-        capped = statement.limit is None or wanted > limits.max_limit
+        capped = statement.limit is not None and wanted > limits.max_limit
         frame = planned.frame.offset(statement.offset) if statement.offset else planned.frame
         targets = links.targets(planned, expand, len(planned.flat.joins), limits.joins) if expand else []
-        frame = links.expand(frame, planned, targets, self) if targets else frame
-        rows = [tuple(r) for r in frame.limit(take + 1).collect()]
+        frame = frame.limit(take + 1)
+        frame = links.expand(frame, planned, targets, self, bounded=True) if targets else frame
+        rows = [tuple(r) for r in frame.collect()]
         more = len(rows) > take
         width = len(planned.names)
         rows = rows[:take]
         expanded = [dict(zip([planned.names[t] for t in targets], map(_loaded, r[width:]), strict=True)) for r in rows] if targets else None
-        return SelectResult(planned.names, [r[:width] for r in rows], more or (capped and wanted > limits.max_limit and more), expanded)
+        return SelectResult(planned.names, [r[:width] for r in rows], capped or more, expanded)
 
     def _budget(self, planned: Planned) -> None:
         """Joins on columns without an index may read so many rows altogether."""
@@ -171,11 +178,12 @@ class Relational:
 
     # changes
 
-    def _commit(self, table: Table, frame: DataFrame, append: bool = False) -> None:
+    def _commit(self, table: Table, frame: DataFrame, append: bool = False, instead: list[int] | None = None) -> None:
         part = table.next_part
         physical = frame.select(F.lit(table.schema_version).alias("__schema"), *[F.col(c.name).cast(SPARK_TYPES[c.type]).alias(f"c{c.col_id}") for c in table.columns])
         physical.write.mode("overwrite").parquet(self._folder(table, part))
-        table.parts, table.next_part = [*(table.parts if append else []), part], part + 1
+        kept = table.parts if append else [p for p in table.parts if instead is not None and p not in instead]
+        table.parts, table.next_part = [*kept, part], part + 1
         self._save()
 
     def vacuum(self, name: str, merge: bool = True) -> int:
@@ -227,12 +235,14 @@ class Relational:
             for c in table.columns:
                 if c.name == table.primary_key and table.autoincrement:
                     key = given.get(c.name)
+                    if key is None and table.next_key > MAX_INTEGER:
+                        raise errors.SequenceExhausted(table.name)
                     key = table.next_key if key is None else key
                     row.append(self._cell(c, key))
                     table.next_key = max(table.next_key, key + 1)
                 else:
                     row.append(self._cell(c, given[c.name] if c.name in given else now if c.default_now else c.default))
-            if sum(len(str(v).encode()) for v in row if v is not None) > self.catalog.limits.row:
+            if sum(_width(v) for v in row) > self.catalog.limits.row:
                 raise errors.RowTooLarge(table.name)
             rows.append(row)
         new, old = self._rows(table, rows), self.scan(table, masked=False)
@@ -243,6 +253,39 @@ class Relational:
         key = [c.name for c in table.columns].index(table.primary_key)
         return ChangeResult(len(rows), rows[0][key] if len(rows) == 1 else None)
 
+    def append(self, name: str, rows: DataFrame) -> ChangeResult:
+        """Insert a DataFrame's rows, by name, with the checks of an insertion: columns it lacks take their defaults, all checks run on executors."""
+        table = copy.deepcopy(self._writable(name))
+        now, limits = int(datetime.now(timezone.utc).timestamp() * 1000), self.catalog.limits
+        for c in rows.columns:
+            table.column(c)
+        cells = []
+        for c in table.columns:
+            kind = SPARK_TYPES[c.type]
+            given = F.col(c.name) if c.name in rows.columns else F.lit(self._cell(c, now if c.default_now else c.default))
+            cells.append(given.cast(kind).alias(c.name))
+        new, old = rows.select(*cells), self.scan(table, masked=False)
+        texts = [c.name for c in table.columns if isinstance(SPARK_TYPES[c.type], T.StringType)]
+        width = sum((F.coalesce(F.octet_length(c.name), F.lit(0)) if c.name in texts else F.lit(8) for c in table.columns), F.lit(0))
+        needed = [c.name for c in table.columns if not c.nullable]
+        checks = [F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(needed)] + [F.max(F.octet_length(c)).alias(f"t{i}") for i, c in enumerate(texts)]
+        seen = new.agg(F.count(F.lit(1)).alias("rows"), F.max(width).alias("width"), F.max(table.primary_key).alias("key"), *checks).head()
+        for i, c in enumerate(needed):
+            if seen[f"n{i}"]:
+                raise errors.NotNullViolation(c)
+        for i, c in enumerate(texts):
+            if (seen[f"t{i}"] or 0) > limits.text:
+                raise errors.TextTooLong(c)
+        if (seen["width"] or 0) > limits.row:
+            raise errors.RowTooLarge(name)
+        self._check_keys(table, old, new)
+        self._check_links(table, new, [c.name for c in table.columns])
+        if table.autoincrement and seen["key"] is not None:
+            table.next_key = max(table.next_key, seen["key"] + 1)
+        self.catalog.entries[table.name] = table
+        self._commit(table, new, append=True)
+        return ChangeResult(seen["rows"])
+
     def _check_keys(self, table: Table, old: DataFrame, new: DataFrame) -> None:
         if duplicate_keys(old, new, table.primary_key).head(1):
             raise errors.DuplicateKey(table.name)
@@ -278,23 +321,32 @@ class Relational:
             if name in sets:
                 raise errors.DuplicateName(name)
             sets[name] = self._cell(column, params[value.index] if isinstance(value, S.Param) else value.value)
-        old = self.scan(table, masked=False)
-        after = updated(old, self._matching(table, statement.where, params), {k: F.lit(v).cast(SPARK_TYPES[table.column(k).type]) for k, v in sets.items()})
-        affected = after.where("__hit").count()
+        values = {k: F.lit(v).cast(SPARK_TYPES[table.column(k).type]) for k, v in sets.items()}
+        hit = self._matching(table, statement.where, params)
+        touched, affected = self._touched(table, hit)
         if affected:
+            after = updated(self.scan(table, masked=False), hit, values)
             for column in table.unique_columns():
                 if column in sets and after.where(F.col(column).isNotNull()).groupBy(column).count().where("count > 1").head(1):
                     raise errors.UniqueViolation(column)
             self._check_links(table, after.where("__hit"), list(sets))
-            self._commit(table, after.drop("__hit"))
+            self._commit(table, updated(self.scan(table, masked=False, parts=touched), hit, values).drop("__hit"), instead=touched)
         return ChangeResult(affected)
 
+    def _touched(self, table: Table, hit) -> tuple[list[int], int]:
+        """The parts that hold rows to change, which alone are written anew, and how many rows those are."""
+        if not table.parts:
+            return [], 0
+        rows = self.scan(table, masked=False, number=True).where(hit)
+        found = {int(r["__part"]): r["count"] for r in rows.groupBy("__part").count().collect()}  # one row for each part
+        return sorted(found), sum(found.values())
+
     def delete(self, statement: S.Delete, params: tuple = ()) -> ChangeResult:
         table = self._writable(statement.table)
-        old, hit = self.scan(table, masked=False), self._matching(table, statement.where, params)
-        affected = old.where(hit).count()
+        hit = self._matching(table, statement.where, params)
+        touched, affected = self._touched(table, hit)
         if affected:
-            self._commit(table, remaining(old, hit))
+            self._commit(table, remaining(self.scan(table, masked=False, parts=touched), hit), instead=touched)
         return ChangeResult(affected)
 
     # rows by key
@@ -378,6 +430,11 @@ def _ref(c: Column):
     return Ref(0, c.name, c.type)
 
 
+def _width(value) -> int:
+    """Bytes of a cell: of a text its UTF-8, of a truth one, of other values eight."""
+    return 0 if value is None else len(value.encode()) if isinstance(value, str) else 1 if isinstance(value, bool) else 8
+
+
 def _loaded(text: str | None):
     return None if text is None else json.loads(text)
 

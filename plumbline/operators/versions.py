@@ -9,7 +9,7 @@ from __future__ import annotations
 import threading
 import time
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "key string, value binary, ts long, op string, expire_at long"
@@ -47,22 +47,18 @@ def merge(*sources: DataFrame) -> DataFrame:
 
 
 def compact(log: DataFrame, watermark: int | None, now: int, keys: list[str] | None = None, order: str = "ts") -> DataFrame:
-    """The versions that a reader at or after ``watermark`` can still need.
+    """The versions that an open snapshot, of which ``watermark`` is the oldest, or a later reader can still need.
 
-    Newest first, versions are kept until one at or below the watermark shadows the rest. A deletion goes if it is older than the watermark
-    (it stays without one), an expired version only if it is the oldest that would be kept; null markers are data.
+    All versions above the watermark stay, and of those at or below it the newest, which shadows the rest; without a watermark the newest
+    version alone. The shadowing version goes as well if it has expired, or is a deletion older than the watermark; a deletion stays
+    without a watermark, and null markers are data. One partially aggregated maximum finds it, so a key with very many versions is no task of its own.
     """
-    keys = keys or ["key"]
-    by = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    low = F.lit(watermark)
-    shadow = F.lit(False) if watermark is None else F.col(order) <= low
-    above = F.max(shadow.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    kept = log.withColumn("__above", F.coalesce(above, F.lit(0))).where(F.col("__above") == 0).drop("__above")
-    back = Window.partitionBy(*keys).orderBy(F.col(order).asc())
-    kept = kept.withColumn("__oldest", F.row_number().over(back) == 1)
-    dead = (F.col("op") == DELETE) & (F.col(order) < low if watermark is not None else F.lit(False))
     expired = (F.col("op") != DELETE) & (F.col("expire_at") != 0) & (F.col("expire_at") <= now)
-    return kept.where(~(F.col("__oldest") & (dead | expired))).drop("__oldest")
+    last = latest(log, watermark, keys, order).where(~expired)
+    if watermark is None:
+        return last
+    last = last.where(~((F.col("op") == DELETE) & (F.col(order) < watermark)))
+    return log.where(F.col(order) > watermark).select(*log.columns).unionByName(last.select(*log.columns))
 
 
 class Clock:

@@ -54,6 +54,7 @@ class Planned:
     refs: list[Ref]
     flat: Flat
     ordered: bool
+    rows: DataFrame | None = None  # those of a query with an order, before it
 
 
 class Planner:
@@ -224,11 +225,12 @@ class Planner:
             frame = frame.where(w)
         if select.count:
             return Planned(frame.agg(F.count(F.lit(1)).alias("count")), ["count"], [], flat, False)
+        unsorted = frame
         if order:
             keys = [column(r).desc_nulls_first() if down else column(r).asc_nulls_last() for r, down in order]
             # ties stay in the order of a scan, which is by primary key
             frame = frame.orderBy(*keys, column(Ref(0, flat.tables[0].primary_key, "")).asc_nulls_last())
-        return Planned(frame.select(*[column(r).alias(f"__o{i}") for i, (_, r) in enumerate(outputs)]).toDF(*[n for n, _ in outputs]), [n for n, _ in outputs], [r for _, r in outputs], flat, bool(order))
+        return Planned(frame.select(*[column(r).alias(f"__o{i}") for i, (_, r) in enumerate(outputs)]).toDF(*[n for n, _ in outputs]), [n for n, _ in outputs], [r for _, r in outputs], flat, bool(order), unsorted)
 
     def _bound(self, flat: Flat, k: int) -> DataFrame:
         table = flat.tables[k]

@@ -5,21 +5,27 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+from datetime import datetime
 
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline import errors
+from plumbline.functions import cron
 from plumbline.operators import versions as V
 from plumbline.operators.documents import Documents
 from plumbline.operators.kv import KeyValues
+from plumbline.sources.ndjson import numbered
 from plumbline.sources.store import Store
 
+#: Digests below one node of the digest tree.
+FAN_OUT = 4096
+
 
 def export(spark: SparkSession, path: str, kv: dict[str, KeyValues] | None = None, docs: dict[str, Documents] | None = None) -> int:
     """Write a manifest, then each domain with its keys or documents at one snapshot, as ordered part files, and the digest beside them.
 
-    Lines are ordered within a domain by key; executors write them, and the digest is that of the lines' digests in order.
+    Lines are ordered within a domain by key; executors write them, and the digest is a tree over the lines' digests in order.
     """
     now = int(time.time())
     header = [{"t": "manifest", "format": 1, "created": now}]
@@ -31,7 +37,7 @@ def export(spark: SparkSession, path: str, kv: dict[str, KeyValues] | None = Non
     for name, domain in sorted((docs or {}).items()):
         header.append({"t": "json-domain", "domain": name})
         header += [{"t": "json-index", "domain": name, "path": p, "kind": i.kind} for p, i in sorted(domain.indexes.items())]
-        frames.append(domain.live().select(F.lit(f"2{name}").alias("o"), "key", F.to_json(F.struct(F.lit("doc").alias("t"), F.lit(name).alias("domain"), "key", "content", "version", "generation")).alias("value")))
+        frames.append(domain.live(domain.clock.now).select(F.lit(f"2{name}").alias("o"), "key", F.to_json(F.struct(F.lit("doc").alias("t"), F.lit(name).alias("domain"), "key", "content", "version", "generation")).alias("value")))
     lines = spark.createDataFrame([("0", f"{i:06d}", json.dumps(h)) for i, h in enumerate(header)], "o string, key string, value string")
     for f in frames:
         lines = lines.unionByName(f)
@@ -41,10 +47,23 @@ def export(spark: SparkSession, path: str, kv: dict[str, KeyValues] | None = Non
 
 
 def _digest(spark: SparkSession, path: str) -> dict:
-    """Lines and an order-free digest: the sum of the first 60 bits of the lines' SHA-256."""
-    rows = spark.read.text(f"{path}/lines").select(F.conv(F.substring(F.sha2("value", 256), 1, 15), 16, 10).cast("decimal(38,0)").alias("h"))
-    count, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("h"), F.lit(0))).head()
-    return {"lines": count, "sha256": hashlib.sha256(f"{count}:{total}".encode()).hexdigest()}
+    """Lines and the root of a tree of SHA-256 in the order of the lines: a node is the digest of up to ``FAN_OUT`` digests below it, one after the other.
+
+    So executors compute it in any split, and a line that is changed, moved, lost or added shows.
+    """
+    lines = numbered(spark, f"{path}/lines")
+    files = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))  # one row for each file
+    files = files.select("file", F.coalesce(before, F.lit(0)).alias("before"), "n")
+    count = files.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    nodes = lines.join(files.drop("n"), "file").select((F.col("before") + F.col("line") - 1).alias("i"), F.sha2(F.col("text").cast("binary"), 256).alias("h"))
+    left = count
+    while left > 1:
+        nodes = nodes.groupBy(F.floor(F.col("i") / FAN_OUT).alias("i")).agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("below"))
+        nodes = nodes.select("i", F.sha2(F.array_join("below.h", "").cast("binary"), 256).alias("h"))
+        left = -(-left // FAN_OUT)
+    root = nodes.head()
+    return {"lines": count, "sha256": root["h"] if root else hashlib.sha256(b"").hexdigest()}
 
 
 def read(spark: SparkSession, path: str):
@@ -82,7 +101,7 @@ def restore(spark: SparkSession, path: str, kv=None, docs=None, replace: bool =
             gone = (F.col("expire_at") != 0) & (F.col("expire_at") <= now)
             report["expired"] += rows.where(gone).count()
             rows = rows.where(~gone).select("key", F.unbase64("value").alias("value"), F.lit(domain.clock.tick()).alias("ts"), F.when(F.col("status") == "null", V.NULL).otherwise(V.PUT).alias("op"), "expire_at")
-            rows.write.mode("append").parquet(domain.path)
+            rows.write.mode("append").parquet(domain.folder)
             report["kv"] += rows.count()
         else:
             rows = own.where(F.col("t") == "doc").select(F.from_json("value", "key string, content string, version long, generation long").alias("r")).select("r.*")
@@ -96,6 +115,39 @@ def restore(spark: SparkSession, path: str, kv=None, docs=None, replace: bool =
     return report
 
 
+class Scheduler:
+    """Backups by cron expressions: at most one at a time, and a minute starts each schedule once.
+
+    ``tick`` is called with the time, say once a minute by a host; it runs what is due, then removes what retention does not keep.
+    """
+
+    def __init__(self, schedules: dict[str, str], run, remove=None, keep: int = 7):
+        """``run(name, at)`` makes a backup, ``remove(name, started)`` deletes one; expressions are checked here."""
+        self.schedules = {name: (text, cron.parse(text))[0] for name, text in schedules.items()}
+        self.run, self.remove, self.keep = run, remove, keep
+        self.done: list[tuple[str, datetime]] = []
+        self.running: str | None = None
+
+    def tick(self, at: datetime) -> list[str]:
+        minute = at.replace(second=0, microsecond=0)
+        due = [n for n, text in sorted(self.schedules.items()) if cron.matches(text, minute) and (n, minute) not in self.done]
+        if due and self.running is not None:
+            raise errors.BackupRunning(self.running)
+        for name in due:
+            self.running = name
+            try:
+                self.run(name, minute)
+                self.done.append((name, minute))
+            finally:
+                self.running = None
+            own = sorted(t for n, t in self.done if n == name)
+            for old in own[: -self.keep] if self.keep else own:
+                if self.remove:
+                    self.remove(name, old)
+                self.done.remove((name, old))
+        return due
+
+
 def retained(backups, keep: int):
     """Of (schedule, started, complete, uploaded) rows, those that retention removes: complete, not uploaded, beyond the newest ``keep``."""
     own = backups.where(F.col("complete") & ~F.col("uploaded"))

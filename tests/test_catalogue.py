@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from plumbline import catalogue
+from plumbline import catalogue, statements
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -26,7 +26,7 @@ def _plain(v):
     return v if v is None or isinstance(v, (str, int, bool)) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(statements.QUERIES))
 def test_rows(spark, duck, name):
     got = catalogue.QUERIES[name](spark, SF)
     columns = sorted(got.columns)

@@ -41,7 +41,10 @@ def test_reads_have_three_states(spark, tmp_path):
         ([(1, "put", 0), (5, "put", 0), (9, "put", 0)], 6, [5, 9]),
         ([(1, "put", 0), (5, "del", 0)], 6, []),
         ([(1, "put", 0), (5, "del", 0)], 5, [5]),
-        ([(1, "put", 0), (5, "del", 0)], None, [1, 5]),
+        ([(1, "put", 0), (5, "del", 0)], None, [5]),
+        ([(1, "put", 0), (5, "put", 50)], None, []),
+        ([(7, "put", 50), (9, "put", 0)], 6, [7, 9]),
+        ([(1, "put", 0), (7, "put", 50)], 6, [1, 7]),
         ([(1, "put", 50), (9, "put", 0)], 6, [9]),
         ([(1, "put", 0), (5, "put", 50)], 6, []),
         ([(1, "null", 0)], 6, [1]),
@@ -162,7 +165,7 @@ def test_streams(spark, tmp_path):
     kv.put("other", b"b")
     kv.delete("user:1")
     got = []
-    query = watch.watch(spark, kv.path, "user:", lambda df, _: got.extend(df.collect()), str(tmp_path / "check"), once=True)
+    query = watch.watch(spark, kv.folder, "user:", lambda df, _: got.extend(df.collect()), str(tmp_path / "check"), once=True)
     query.awaitTermination(60)
     assert [(r["key"], r["event"]) for r in sorted(got, key=lambda r: r["ts"])] == [("user:1", "set"), ("user:2", "set"), ("user:1", "delete")]
     rows = [("d", f"2024-01-01 00:00:{s:02d}", "read", 5, True) for s in range(0, 40, 10)]
