@@ -410,6 +410,55 @@ def test_lm_base_is_exact_and_model_is_better(sample, odd, nothing, monkeypatch)
     assert all(r["n_known"] == 0 for r in lm_score.score(sample.limit(3), model, table, ~lm_score.train_rows()).collect())
 
 
+def test_lm_scores_do_not_depend_on_partitions(sample, odd):
+    for frame in (sample, odd):
+        one, many = frame.coalesce(1), frame.repartition(64)
+        found = []
+        for part, other in ((one, many), (many, one)):
+            model, table = lm_score.fit(part, lm_score.train_rows())
+            found.append(sorted((str(r["doc_id"]), r["n_tokens"], r["score"], r["base_score"]) for r in lm_score.score(other, model, table, ~lm_score.train_rows()).collect()))
+        for a, b in zip(*found, strict=True):
+            assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-9, abs=1e-6)
+
+
+def test_lm_softmax_and_gradient_match_brute_force(sample):
+    import numpy as np
+
+    model, _ = lm_score.fit(sample, lm_score.train_rows())
+    ranks = lm_score._Ranks(model.keys)
+    ids, features, _ = lm_score._numbers(ranks, [r["text"].encode()[:300] for r in sample.limit(3).collect()])
+    found = lm_score.log_probability(model, ids, features)
+    sums = [*lm_score._tables(), np.zeros(lm_score.CLASS_ROWS, np.int64), np.zeros(lm_score.WORD_ROWS, np.int64)]
+    lm_score.gradient(model, ids, features, tuple(sums))
+    moved = np.zeros((lm_score.CLASS_ROWS, lm_score.CLASSES))
+    for i, w in enumerate(ids.tolist()):
+        c = w // lm_score.CLASS if w < model.listed else lm_score.CLASSES - 1
+        rows = [int(lm_score._rows(np.array([f]), lm_score.CLASS_ROWS)[0]) for f in features[i]]
+        logits = [float(model.class_bias[k]) + sum(float(model.class_weight[r, k]) for r in rows) for k in range(lm_score.CLASSES)]
+        total = sum(math.exp(x) for x in logits)
+        want = logits[c] - math.log(total)
+        if w < model.listed:
+            own = [int(lm_score._rows(np.array([f]), lm_score.WORD_ROWS, np.array([c + 1]))[0]) for f in features[i]]
+            inner = [float(model.word_bias[c, k]) + sum(float(model.word_weight[r, k]) for r in own) for k in range(lm_score.CLASS)]
+            want += inner[w % lm_score.CLASS] - math.log(sum(math.exp(x) for x in inner))
+        assert found[i] == pytest.approx(want, abs=1e-4)
+        for r in rows:
+            for k in range(lm_score.CLASSES):
+                moved[r, k] += math.exp(logits[k]) / total - (k == c)
+    assert np.abs(sums[0] / lm_score.STEPS - moved).max() < 1e-2
+    assert sums[2].sum() == 2 * len(ids)
+
+
+def test_lm_gain_on_documents_without_copies(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").repartition(64)
+    model, table = lm_score.fit(docs, lm_score.train_rows())
+    rows = lm_score.score(docs, model, table, ~lm_score.train_rows()).join(docs, "doc_id").collect()
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [lm_score.tokens_of(t.encode())] for i in range(len(w) - 4)}
+    seen = set().union(*(grams(r["text"]) for r in rows if not r["held_out"]))
+    for chosen in ([r for r in rows if r["held_out"]], [r for r in rows if r["held_out"] and not grams(r["text"]) & seen]):
+        assert chosen and sum(r["score"] - r["base_score"] for r in chosen) >= 0.05 * sum(r["n_tokens"] for r in chosen)
+
+
 def test_lm_probabilities_sum_to_one(sample):
     import numpy as np
 
