@@ -44,22 +44,26 @@ def ready(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset the warehouse on a cluster and a temporary folder in local mode."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a temporary folder in local mode and a refusal on a cluster."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("plumbline.shared.dir", None)
     if not found:
         local = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
-        found = tempfile.mkdtemp(prefix="plumbline-shared-") if local else spark.conf.get("spark.sql.warehouse.dir")
+        if not local:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="plumbline-shared-")
         spark.conf.set("plumbline.shared.dir", found)
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
+def own_dir(spark: SparkSession) -> str:
+    """What one application writes lies in one folder in the shared one, named by its id, which may be deleted when it has ended."""
+    return f"{shared_dir(spark)}/plumbline-{spark.sparkContext.applicationId}"
 
-    What one application writes lies in one folder there, named by its id, which may be deleted when it has ended.
-    """
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plumbline-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, jaccard_join, language_id, line_dedup, lm_score, pii, quality, secret_scan, sentencepiece, substring_dedup
 from plumbline.llm import spans as S
-from plumbline.llm.common import table
+from plumbline.llm.common import materialize, own_dir, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,15 +60,30 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secret_scan.report(table(spark, sf_dir, "documents"))
+    # one ledger for each application: texts that an earlier scan of it has seen are not scanned again
+    found = secret_scan.report(table(spark, sf_dir, "documents"), secret_scan.Ledger(spark, f"{own_dir(spark)}/secret-ledger"))
     kinds = [r.kind for r in secret_scan.BASE]
     base = F.filter("__spans", lambda s: s["kind"].isin(kinds))
     counts = [S.count(F.col("__spans"), k).alias(f"n_{k}") for k in kinds]
     return found.select("doc_id", *counts, F.sha2(S.written(base).cast("binary"), 256).alias("base_sha256"), S.written(F.col("__spans")).alias("spans"), "blob")
 
 
+def secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of all documents against one ledger: of the second, in which every other text has one more line, only new blobs are scanned."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger, out = secret_scan.Ledger(spark, f"{own_dir(spark)}/{uuid.uuid4().hex}"), []
+    longer = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("\ntoken=abcdefgh"))).otherwise(F.col("text"))
+    for n, version in enumerate((docs, docs.withColumn("text", longer), docs)):
+        paths = version.select(secret_scan.address(F.col("text")).alias("blob"))
+        todo = materialize(secret_scan.unseen(paths.distinct(), ledger.rows()))
+        if todo.head(1):
+            ledger.append(secret_scan.scan(version, todo))
+        out.append(todo.agg(F.lit(n).alias("version"), F.count(F.lit(1)).alias("blobs"), F.coalesce(F.sum(F.size("todo")), F.lit(0)).alias("pairs")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_substring_dedup, op3_sentencepiece, op4_language_id, op5_quality, op6_decontaminate, op7_jaccard_join, op8_line_dedup, op9_lm_score, op10_secret_scan)
+    f.__name__: f for f in (op1_pii, op2_substring_dedup, op3_sentencepiece, op4_language_id, op5_quality, op6_decontaminate, op7_jaccard_join, op8_line_dedup, op9_lm_score, op10_secret_scan, secret_ledger)
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -114,4 +130,10 @@ kept AS (SELECT l.rid, coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER
          FROM l LEFT JOIN hit ON l.rid = hit.rid AND l.i = hit.i GROUP BY l.rid)
 SELECT d.doc_id, CASE WHEN kept.gone > 0 THEN kept.text ELSE d.text END AS text, CAST(coalesce(kept.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(kept.gone, 0) AS BIGINT) AS n_dropped
 FROM d LEFT JOIN kept USING (rid)""",
+    "secret_ledger": f"""
+WITH a AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+b AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN text || chr(10) || 'token=abcdefgh' ELSE text END AS text FROM a)
+SELECT 0 AS version, count(DISTINCT text) AS blobs, CAST(count(DISTINCT text) * {len(secret_scan.RULES)} AS BIGINT) AS pairs FROM a
+UNION ALL SELECT 1, count(*), CAST(count(*) * {len(secret_scan.RULES)} AS BIGINT) FROM b WHERE text NOT IN (SELECT text FROM a)
+UNION ALL SELECT 2, 0, 0""",
 }

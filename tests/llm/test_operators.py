@@ -138,8 +138,12 @@ def test_lines_and_classes_leave_clashing_columns_alone(spark):
     assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == set(rows[:4])
 
 
-def test_native_operators_have_no_python(sample):
-    for frame in (line_dedup.dedup(sample), secret_scan.report(sample)[0], pii.extract(sample)):
+def _ledger(spark, tmp_path):
+    return secret_scan.Ledger(spark, str(tmp_path / "ledger"))
+
+
+def test_native_operators_have_no_python(spark, sample, tmp_path):
+    for frame in (line_dedup.dedup(sample), secret_scan.report(sample, _ledger(spark, tmp_path)), pii.extract(sample)):
         plan = frame._jdf.queryExecution().toString()
         assert not re.search("Python|Pandas|MapInArrow|ArrowEval", plan)
 
@@ -517,14 +521,14 @@ def test_long_text_has_no_discovery_on_base_spans(spark):
 
 
 @pytest.mark.parametrize("which", ["pii", "secrets"])
-def test_base_spans_match_brute_force(spark, sample, which):
+def test_base_spans_match_brute_force(spark, sample, which, tmp_path):
     texts = [(i, t) for i, t in enumerate([*ODD_TEXTS, LONG_TEXT])] + [(1000 + r["doc_id"], r["text"]) for r in sample.collect()]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     if which == "pii":
         found, rules = by_id(pii.extract(docs).select("doc_id", S.written(F.col("__base")).alias("s")), "s"), PII_RULES
     else:
         kinds = [r.kind for r in secret_scan.BASE]
-        rows, _ = secret_scan.report(docs)
+        rows = secret_scan.report(docs, _ledger(spark, tmp_path))
         found, rules = by_id(rows.select("doc_id", S.written(F.filter("__spans", lambda s: s["kind"].isin(kinds))).alias("s")), "s"), SECRET_RULES
     assert found == {k: (_brute_spans(t, rules),) for k, t in texts}
 
@@ -557,30 +561,45 @@ def test_pii_discovered_instances_support_new_patterns(spark):
     assert found[20] == ("phone:18:30",) and found[30] == ("phone:19:31",) and found[40] == ("phone:19:31",)
 
 
-def test_pii_and_secrets_odd_input(spark, odd, nothing):
+def test_pii_and_secrets_odd_input(spark, odd, nothing, tmp_path):
     for name in ("op1_pii", "op10_secret_scan"):
         assert name in queries.QUERIES
     rows = pii.extract(odd).collect()
     assert len(rows) == 13 and pii.extract(nothing).collect() == []
-    rows = secret_scan.report(odd)[0].collect()
-    assert len(rows) == 13 and secret_scan.report(nothing)[0].collect() == []
+    rows = secret_scan.report(odd, _ledger(spark, tmp_path)).collect()
+    assert len(rows) == 13 and secret_scan.report(nothing, secret_scan.Ledger(spark, str(tmp_path / "none"))).collect() == []
 
 
-def test_ledger_scans_only_what_is_new(spark):
+def test_ledger_scans_only_what_is_new(spark, tmp_path, monkeypatch):
     one = spark.createDataFrame([(1, "token=abcdefgh1"), (2, "token=abcdefgh1"), (3, "plain")], "doc_id long, text string")
     two = spark.createDataFrame([(4, "token=abcdefgh1"), (5, "secret: zyxwvuts")], "doc_id long, text string")
-    _, ledger = secret_scan.report(one)
-    assert ledger.select("blob").distinct().count() == 2
-    new = secret_scan.scan(two, ledger)
-    assert new.select("blob").distinct().count() == 1 and new.count() == len(secret_scan.RULES)
-    found, ledger = secret_scan.report(two, ledger)
+    ledger = _ledger(spark, tmp_path)
+    assert by_id(secret_scan.report(one, ledger).select("doc_id", S.written(F.col("__spans")).alias("s")), "s") == {1: ("assign:0:15",), 2: ("assign:0:15",), 3: ("",)}
+    assert ledger.rows().select("blob").distinct().count() == 2
+    blobs = two.select(secret_scan.address(F.col("text")).alias("blob"))
+    todo = secret_scan.unseen(blobs, ledger.rows())
+    assert todo.count() == 1 and len(todo.head()["todo"]) == len(secret_scan.RULES)
+    for few in (secret_scan.FEW, 0):  # by a broadcast and by a shuffle
+        monkeypatch.setattr(secret_scan, "FEW", few)
+        assert secret_scan.scan(two, todo).count() == len(secret_scan.RULES)
+    found = secret_scan.report(two, ledger)
     assert by_id(found.select("doc_id", S.written(F.col("__spans")).alias("s")), "s") == {4: ("assign:0:15",), 5: ("assign:0:16",)}
-    assert secret_scan.scan(two, ledger).count() == 0
+    assert secret_scan.unseen(blobs, ledger.rows()).count() == 0
     newer = [secret_scan.Rule("assign", secret_scan.ASSIGN, secret_scan._always, secret_scan._always, version=2), *secret_scan.RULES[1:]]
-    again = secret_scan.scan(two, ledger, newer)
+    again = secret_scan.scan(two, secret_scan.unseen(blobs, ledger.rows(), newer), newer)
     assert {r["rule"] for r in again.collect()} == {"assign@2"} and again.count() == 2
 
 
+def test_secret_and_pii_columns_match_brute_force(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for name, rules in (("op1_pii", PII_RULES), ("op10_secret_scan", SECRET_RULES)):
+        for r in queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect():
+            spans = _brute_spans(docs[r["doc_id"]], rules)
+            assert r["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
+            assert [r[f"n_{n}"] for n, *_ in rules] == [sum(x.startswith(f"{n}:") for x in spans.split(",")) for n, *_ in rules]
+            assert set(filter(None, spans.split(","))) <= set(r["spans"].split(","))
+
+
 # substring dedup
 
 
