@@ -42,6 +42,8 @@ TOLERANCE = 1e-6
 #: Hashes compared between two looks at the posterior.
 STEP = 16
 PAIRS_AT_ONCE = 100_000
+#: Cells of digests by which texts without a candidate pair are told before they move.
+SIEVE = 1 << 19
 _rng = np.random.default_rng(20240607)
 _MULTIPLY = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -132,6 +134,7 @@ def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in groups(batches, _KEYS):
         group = group_of(table, _KEYS)
         sig = _fixed(table["sig"], HASHES)
+        words = sig.view(np.uint32)
         c, i, j, band = (table[k].to_numpy() for k in ("c", "i", "j", "band"))
         size = np.bincount(group)
         start = np.cumsum(size) - size
@@ -150,12 +153,14 @@ def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for n in range(STEP, HASHES + 1, STEP):
                 matches += (sig[a, n - STEP : n] == sig[b, n - STEP : n]).sum(1)
                 ok = matches >= least[n]
+                if n == STEP and ok.any():
+                    # near copies share many bands, and are compared in full in the first of them alone
+                    at = np.flatnonzero(ok)
+                    ok[at] = (words[a[at]] == words[b[at]]).argmax(1) == band[a[at]]
                 a, b, matches = a[ok], b[ok], matches[ok]
             if len(a):
-                words = sig.view(np.uint32)
-                ok = (words[a] == words[b]).argmax(1) == band[a]
-                kept_a.append(a[ok])
-                kept_b.append(b[ok])
+                kept_a.append(a)
+                kept_b.append(b)
         if not kept_a or not sum(map(len, kept_a)):
             continue
         a, b = np.concatenate(kept_a), np.concatenate(kept_b)
@@ -231,6 +236,13 @@ def verify(batches: Iterator[pa.RecordBatch], threshold: float = THRESHOLD) -> I
             yield pa.record_batch([nodes.take(pa.array(rows)), pa.array(links[rows].astype(np.int64)), nodes.take(pa.array(root[rows]))], names=["node", "links", "root"])
 
 
+def _near(docs: DataFrame, maybe: DataFrame) -> DataFrame:
+    """Rows whose node may be in ``maybe``, by one of ``SIEVE`` cells of its digest: a broadcast of bounded size, which keeps most texts from being shuffled."""
+    cell = lambda node: F.pmod(F.xxhash64(node), F.lit(SIEVE)).cast("int")
+    cells = maybe.select(cell("node").alias("__cell")).distinct()
+    return docs.withColumn("__cell", cell("__node")).join(F.broadcast(cells), "__cell", "left_semi").drop("__cell")
+
+
 def links(docs: DataFrame) -> DataFrame:
     """node, links, root of verified units over the distinct texts of ``docs`` (columns __node, text)."""
     spark = docs.sparkSession
@@ -248,7 +260,7 @@ def links(docs: DataFrame) -> DataFrame:
     units = units.select(*_KEYS, "c", "band", "node", "sig").repartition(*_KEYS).sortWithinPartitions(*_KEYS)
     maybe = materialize(units.mapInArrow(prune, "key long, i int, j int, pos int, node binary, partners array<int>"))
     # equal texts meet before the shuffle, so copies move once for each task at most
-    full = docs.where(F.col("__node").isNotNull()).groupBy(F.col("__node").alias("node")).agg(F.first("text").alias("text"))
+    full = _near(docs.where(F.col("__node").isNotNull()), maybe).groupBy(F.col("__node").alias("node")).agg(F.first("text").alias("text"))
     # one plan at every size: a broadcast would be pushed below the aggregation only while it is small
     full = full.join(maybe.select("node").distinct().hint("merge"), "node", "left_semi")
     work = maybe.join(full, "node").select(*_KEYS, "pos", "node", "partners", "text").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "pos")
