@@ -5,6 +5,8 @@ units of a mixture: expectation-maximisation estimates the share of every langua
 words' trigram likelihoods, and a language stays in the text's set only while the
 log-likelihood that it adds exceeds a penalty that grows with the logarithm of the word count.
 
+A filter (``keep_known``) also rejects texts that no mixture explains: see ``least_likelihood``.
+
 Defined results for odd input: null text, empty text and text without a letter give ``und`` with
 score 0 and no language set; so does every text when no language could be learned. Rows with a
 null ``lang`` are not learned from. Repeated rows are predicted row by row; ties go to the first
@@ -100,14 +102,29 @@ def fit(docs: DataFrame, learn_from=None, max_docs: int = TRAIN_DOCS) -> Languag
     return LanguageModel(languages, np.log((counts + 0.5) / (counts.sum(0) + 0.5 * seen)).astype(np.float32))
 
 
-def mixture(model: LanguageModel, parts: list[bytes], penalty: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
-    """Language shares of each text, [texts, languages], and whether the text has words and the model languages."""
+def least_likelihood(model: LanguageModel) -> np.ndarray:
+    """Log-likelihood per trigram, for each language, below which a text is not of that language.
+
+    Text of a language scores the negative entropy of its trigrams on average, text of unlearned trigrams the
+    floor of the table; the bound lies halfway, so a text goes if it is nearer to the latter. Both follow from the model alone.
+    """
+    if not len(model.languages):
+        return np.zeros(0)
+    table = model.table.astype(np.float64)
+    floor = table.min(0)
+    weight = np.where(table > floor + 1e-6, np.exp(table), 0)
+    own = (weight * table).sum(0) / np.maximum(weight.sum(0), 1e-300)
+    return (np.where(weight.sum(0) > 0, own, floor) + floor) / 2
+
+
+def mixture(model: LanguageModel, parts: list[bytes], penalty: float = 2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language shares of each text, [texts, languages], whether the text has words and the model languages, and the mixture's log-likelihood per trigram."""
     n, width = len(parts), len(model.languages)
-    shares = np.zeros((n, width))
+    shares, fits = np.zeros((n, width)), np.zeros(n)
     data, starts = _joined(parts)
     begin, end = _words(data)
     if not len(begin) or not width:
-        return shares, np.zeros(n, bool)
+        return shares, np.zeros(n, bool), fits
     of = np.searchsorted(starts, begin, side="right") - 1
     like = np.empty((len(begin), width))
     first = 0
@@ -118,7 +135,8 @@ def mixture(model: LanguageModel, parts: list[bytes], penalty: float = 2.0) -> t
         np.cumsum(model.table[_buckets(data[low : end[last - 1] + 1])], axis=0, dtype=np.float64, out=total[1:])
         like[first:last] = total[end[first:last] - 1 - low] - total[begin[first:last] - 1 - low]
         first = last
-    like = (np.exp(np.maximum(like - like.max(1, keepdims=True), -30)) + 1e-6).astype(np.float32)
+    peak = like.max(1)
+    like = (np.exp(np.maximum(like - peak[:, None], -30)) + 1e-6).astype(np.float32)
     held, first = np.unique(of, return_index=True)
     row = np.searchsorted(held, of)
     words = np.diff(np.append(first, len(of)))
@@ -150,9 +168,10 @@ def mixture(model: LanguageModel, parts: list[bytes], penalty: float = 2.0) -> t
             break
         allowed[take], share[take], fitness[take] = trial[take], share_t[take], fitness_t[take]
     shares[held] = share
+    fits[held] = (np.add.reduceat(peak, first) + fitness) / np.add.reduceat(end - begin, first)
     known = np.zeros(n, bool)
     known[held] = True
-    return shares, known
+    return shares, known, fits
 
 
 def has_letter(text: bytes) -> bool:
@@ -164,7 +183,7 @@ def _predict(model: LanguageModel, column: pa.Array) -> tuple[list[str], np.ndar
     names, scores, sets = [], [], []
     for a, b in slices(column):
         parts = texts(column, a, b)
-        shares, known = mixture(model, parts)
+        shares, known, _ = mixture(model, parts)
         for i, part in enumerate(parts):
             if not known[i] or not has_letter(part):
                 names.append(UNKNOWN)
@@ -196,14 +215,23 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The documents whose language is known, with all their columns; the rest is rejected."""
+    """The documents that a mixture of learned languages explains, with all their columns; the rest is rejected.
+
+    Texts without a letter go, and so do those whose log-likelihood per trigram falls short of the bounds of
+    their languages, weighted by share: letter noise, encoded data, scripts and languages unlike all learned ones.
+    """
     spark = docs.sparkSession
     ready(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast((model, least_likelihood(model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, least = shared.value
         for batch in batches:
-            names, _, _ = _predict(shared.value, binary_column(batch, "text"))
-            yield batch.filter(pa.array([x != UNKNOWN for x in names], pa.bool_()))
+            column, kept = binary_column(batch, "text"), [np.zeros(0, bool)]
+            for a, b in slices(column):
+                parts = texts(column, a, b)
+                shares, known, fits = mixture(own, parts)
+                kept.append(known & (fits >= shares @ least) & np.array([has_letter(x) for x in parts], bool))
+            yield batch.filter(pa.array(np.concatenate(kept)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -50,6 +52,58 @@ def test_language_odd_input(odd, nothing, sample):
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()}.isdisjoint({1, 2, 3})
 
 
+def test_language_mixture_against_all_subsets(sample):
+    """The language set and shares are those of the best of all subsets, by likelihood word by word less the penalty."""
+    model = language_id.fit(sample)
+    width = len(model.languages)
+    rows = [r["text"] for r in sample.where("length(text) between 200 and 900").orderBy("doc_id").limit(24).collect()]
+    rows += [a[:400] + " " + b[:300] for a, b in zip(rows, rows[12:], strict=False)]
+    shares, known, fits = language_id.mixture(model, [x.encode() for x in rows])
+    assert known.all()
+    same = 0
+    for text, got, fit in zip(rows, shares, fits, strict=True):
+        words = "".join(c if c.isalpha() or not c.isascii() else " " for c in text.lower()).split()
+        logs = [[0.0] * width for _ in words]
+        for w, word in enumerate(words):
+            data = b" " + word.encode() + b" "
+            for i in range(len(data) - 2):
+                bucket = ((data[i] << 16 | data[i + 1] << 8 | data[i + 2]) * 2654435761 % 2**32) >> 16
+                for k in range(width):
+                    logs[w][k] += float(model.table[bucket, k])
+        like = [[math.exp(max(x - max(row), -30)) + 1e-6 for x in row] for row in logs]
+        best = None
+        for chosen in range(1, 2**width):
+            share = [1 / bin(chosen).count("1") if chosen >> k & 1 else 0.0 for k in range(width)]
+            for _ in range(60):
+                total = [0.0] * width
+                for row in like:
+                    z = sum(a * b for a, b in zip(row, share, strict=True))
+                    total = [t + a * b / z for t, a, b in zip(total, row, share, strict=True)]
+                share = [t / len(like) for t in total]
+            found = sum(math.log(sum(a * b for a, b in zip(row, share, strict=True))) for row in like)
+            gain = found - 2.0 * math.log(len(words) + 1) * bin(chosen).count("1")
+            if best is None or gain > best[0]:
+                best = (gain, share, found)
+        if all((a > 0) == (b > 0) for a, b in zip(best[1], got, strict=True)):
+            same += 1
+            assert max(abs(a - b) for a, b in zip(best[1], got, strict=True)) < 0.03
+            trigrams = sum(len(x.encode()) for x in words)
+            assert abs(fit - (sum(map(max, logs)) + best[2]) / trigrams) < 0.01
+    assert same >= 0.9 * len(rows)
+
+
+def test_language_rejects_what_no_mixture_explains(spark, sample):
+    model = language_id.fit(sample)
+    rng = random.Random(5)
+    latin, coded = string.ascii_lowercase, string.ascii_letters + string.digits + "+/"
+    strange = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 12))) for _ in range(n)) for letters in (latin, coded, "αβγδεζηθικλμνξοπρστυφχψω", "".join(map(chr, range(0x4E00, 0x5600)))) for n in (8, 80, 2000)]
+    assert language_id.keep_known(spark.createDataFrame(list(enumerate(strange)), "doc_id long, text string"), model).collect() == []
+    clean = sample.where("text rlike '[A-Za-z]'")
+    assert language_id.keep_known(clean, model).count() == clean.count()
+    # a label is still given to every text with a letter
+    assert "und" not in {r["lang_pred"] for r in language_id.predict(spark.createDataFrame(list(enumerate(strange)), "doc_id long, text string"), model).collect()}
+
+
 # line dedup
 
 
