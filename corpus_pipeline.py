@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is writte
 back as the next stage's documents. Decisions take effect: rejected, duplicate and contaminated
 documents go, recurring lines are cut out of texts. All stages but the last return the columns of documents.
 
-Defined results for odd input: a null text, or one without a letter, has no language and goes in the first stage. Null ids and null cells in other columns go
+Defined results for odd input: a null text, one without a letter, or one that no mixture of the learned languages explains goes in the first stage. Null ids and null cells in other columns go
 through; rows that repeat both id and text stay or go together. A document all of whose lines recur in earlier documents goes in the second stage.
 Extra columns go through up to the last stage, whatever their names. An empty table gives an empty table of the same columns.
 """
@@ -19,7 +19,7 @@ from plumbline.llm.common import materialize, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a known language go."""
+    """Documents that no mixture of learned languages explains go."""
     return language_id.keep_known(docs, language_id.fit(docs))
 
 
