@@ -444,6 +444,25 @@ def test_quality_is_monotone():
         assert (sign * steps >= -1e-12).all()
 
 
+def test_quality_scores_match_a_plain_tree_walk():
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    x = r.random((300, len(quality.FEATURES))).round(2)  # ties with the thresholds
+    trees = quality.boost(x, (x[:, 0] + x[:, 3] > 1).astype(float))
+
+    def walk(row) -> float:
+        total = trees.start
+        for k in trees.root.tolist():
+            while trees.feature[k] >= 0:
+                k = int(trees.left[k]) + (0 if row[trees.feature[k]] <= trees.threshold[k] else 1)
+            total += trees.value[k]
+        return 1 / (1 + math.exp(-total))
+
+    assert trees.score(x) == pytest.approx([walk(row) for row in x], rel=1e-9)
+    assert len(set(trees.score(x).round(6))) > 10
+
+
 # language-model scoring
 
 
