@@ -28,3 +28,16 @@ def test_stages_take_effect(spark):
 
 def test_queries_cover_the_ten_operators():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))
+
+
+def test_stages_take_odd_input_and_an_empty_table(spark, odd, nothing):
+    for docs in (odd, nothing):
+        held = materialize(docs)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            held = materialize(stage(spark, held, SF))
+            assert held.columns == docs.columns, name
+        last = corpus_pipeline.STAGES[-1][1](spark, held, SF).collect()
+        ids = [r["doc_id"] for r in last]
+        assert len(last) == held.count() and not {1, 2, 3} & set(ids)  # null, empty and blank texts go
+        assert len({4, 5} & set(ids)) <= 1  # equal texts
+        assert bool(ids) == (docs is odd)
