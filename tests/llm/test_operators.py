@@ -8,6 +8,7 @@ import string
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from conftest import prose
 from pyspark.sql import functions as F
@@ -755,3 +756,32 @@ def test_passages_odd_input(odd, nothing):
     found = {(r["doc_id"], r["ref_doc_id"]) for r in substring_dedup.passages(odd).collect()}
     assert found == {(5, 4)}
     assert substring_dedup.passages(nothing).collect() == []
+
+
+@pytest.mark.parametrize("edits", ["none", "changed", "longer"])
+def test_passages_are_not_hidden_by_the_first_and_the_preceding_holder(spark, edits):
+    words = prose(1, 40).split()
+    phrases = lambda seed: " ".join(f"{' '.join(words[i : i + 12])} {prose(seed + i, 70)}" for i in range(0, 40, 5))
+    other = {"none": words, "changed": [f"edit{i}" if i in (10, 25) else w for i, w in enumerate(words)], "longer": [*words[:20], "new", *words[20:]]}[edits]
+    # all seeds of the passage are in the first and in the third document too, in pieces too short to be reported
+    rows = [(1, phrases(100)), (2, f"{prose(10, 40)} {' '.join(words)} {prose(11, 40)}"), (3, phrases(300)), (4, f"{prose(12, 40)} {' '.join(other)} {prose(13, 40)}")]
+    found = [(r["doc_id"], r["ref_doc_id"]) for r in substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert found == [(4, 2)]
+
+
+@pytest.mark.parametrize("small", [0, substring_dedup.SMALL])
+def test_seeds_of_very_many_documents_meet_where_a_passage_may_be(monkeypatch, small):
+    monkeypatch.setattr(substring_dedup, "SMALL", small)
+    phrase, tail = prose(1, 14).split(), prose(2, 30).split()
+    texts = [prose(100 + i, 60).split() + phrase + prose(400 + i, 60).split() for i in range(60)]
+    planted = {(11, 10): tail, (21, 20): [*tail[:4], "edit", *tail[5:]], (31, 30): [*tail[:9], "new", *tail[9:]], (41, 40): ["edit", *tail[1:]], (51, 50): [*tail[:2], "edit", *tail[3:9], "edit", *tail[10:16], "edit", *tail[17:]]}
+    for (d, r), changed in planted.items():
+        own = [f"{w}{r}" for w in tail]
+        texts[r][74:104], texts[d][74:104] = own, [f"{w}{r}" for w in changed][:30]
+    hashed = substring_dedup.word_hashes([" ".join(t).encode() for t in texts], common.WordHash())
+    _, _, near = zip(*((i, *substring_dedup.surroundings(np.frombuffer(w, np.uint16), np.array([62]))) for i, w in enumerate(hashed)), strict=True)
+    n, none = len(texts), np.zeros(len(texts), bool)
+    i, j, _, _ = substring_dedup.hidden(np.zeros(n, np.int64), np.arange(n), np.arange(n), none, np.full(n, 62), np.concatenate(near))
+    assert set(planted) == set(zip(i.tolist(), j.tolist(), strict=True))
+    # those that lie in passages of one class already are settled
+    assert not len(substring_dedup.hidden(np.zeros(n, np.int64), np.arange(n), np.zeros(n, np.int64), ~none, np.full(n, 62), np.concatenate(near))[0])
