@@ -785,3 +785,30 @@ def test_seeds_of_very_many_documents_meet_where_a_passage_may_be(monkeypatch, s
     assert set(planted) == set(zip(i.tolist(), j.tolist(), strict=True))
     # those that lie in passages of one class already are settled
     assert not len(substring_dedup.hidden(np.zeros(n, np.int64), np.arange(n), np.zeros(n, np.int64), ~none, np.full(n, 62), np.concatenate(near))[0])
+
+
+@pytest.mark.parametrize("small", [0, substring_dedup.SMALL])
+def test_phrases_too_short_for_a_passage_make_few_pairs(monkeypatch, small):
+    monkeypatch.setattr(substring_dedup, "SMALL", small)
+    # all have one phrase, and at a distance of its own another, which are too few words together
+    phrase, other, own = prose(1, 14).split(), prose(2, 6).split(), lambda i, n: [f"own{i}x{k}" for k in range(n)]
+    texts = [own(i, 60) + phrase + own(1000 + i, 4 + i % 12) + other + own(2000 + i, 60) for i in range(120)]
+    # in the last two the phrase goes on, behind a word that one of them lacks
+    tail = prose(3, 30).split()
+    texts += [own(3000, 60) + phrase + tail + own(3001, 60), own(3002, 60) + phrase + tail[:9] + ["new", *tail[9:]] + own(3003, 60)]
+    hashed = substring_dedup.word_hashes([" ".join(t).encode() for t in texts], common.WordHash())
+    near = np.concatenate([substring_dedup.surroundings(np.frombuffer(w, np.uint16), np.array([62]))[1] for w in hashed])
+    n = len(texts)
+    i, j, _, _ = substring_dedup.hidden(np.zeros(n, np.int64), np.arange(n), np.arange(n), np.zeros(n, bool), np.full(n, 62), near)
+    pairs = set(zip(i.tolist(), j.tolist(), strict=True))
+    # words are compared by bytes there, so a few of 7 000 pairs seem to agree in more
+    assert (121, 120) in pairs and len(pairs) < n
+
+
+def test_equal_occurrences_in_two_documents_are_matched_one_by_one():
+    words = prose(1, 125)
+    near = substring_dedup.surroundings(np.frombuffer(substring_dedup.word_hashes([words.encode()], common.WordHash())[0], np.uint16), np.array([60]))[1]
+    # 40 occurrences in one document and 30 in another
+    doc, pos = np.repeat([0, 1], [30, 40]), np.append(np.arange(30), np.arange(40)) * 200
+    i, j, _, _ = substring_dedup.hidden(np.zeros(70, np.int64), doc, doc, np.zeros(70, bool), pos, np.repeat(near, 70, axis=0))
+    assert sorted(zip(pos[i].tolist(), pos[j].tolist(), strict=True)) == [(200 * k, 200 * min(k, 29)) for k in range(40)] and set(doc[i].tolist()) == {1}
