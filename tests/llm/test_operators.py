@@ -812,3 +812,9 @@ def test_equal_occurrences_in_two_documents_are_matched_one_by_one():
     doc, pos = np.repeat([0, 1], [30, 40]), np.append(np.arange(30), np.arange(40)) * 200
     i, j, _, _ = substring_dedup.hidden(np.zeros(70, np.int64), doc, doc, np.zeros(70, bool), pos, np.repeat(near, 70, axis=0))
     assert sorted(zip(pos[i].tolist(), pos[j].tolist(), strict=True)) == [(200 * k, 200 * min(k, 29)) for k in range(40)] and set(doc[i].tolist()) == {1}
+
+
+def test_marked_rows_are_all_that_are_wanted_and_few_others(spark):
+    rows = spark.range(20_000).withColumnRenamed("id", "k").selectExpr("k", "k as v")
+    found = {r["k"]: r["v"] for r in substring_dedup.marked(rows, "k", rows.where("k % 10 = 3").selectExpr("k", "1 as rows")).collect()}
+    assert set(range(3, 20_000, 10)) <= set(found) and len(found) < 2_200 and all(k == v for k, v in found.items())
